@@ -63,7 +63,7 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     addressed = versions.select(F.col(path_col).alias("path"), *result_cols, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     wanted = addressed.select("blob", "text").distinct()  # equal digests with unequal texts would both be scanned
     if ledger is not None:
-        wanted_rules = F.array(*[F.struct(F.lit(r.kind), F.lit(r.version)) for r in rules])
+        wanted_rules = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
         done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "rule_version")).alias("seen"))
         left = wanted.join(done, "blob", "left")
         todo = left.where(F.col("seen").isNull() | (F.size(F.array_except(wanted_rules, "seen")) > 0))
