@@ -28,6 +28,8 @@ PATTERNS = {
 #: A word that may be an identifier: no white space, at least one digit or at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 ROUNDS, ACCEPT, SUPPORT = 3, 0.8, 5
+#: No identifier is longer than this.
+LONGEST = 256
 #: Characters of the text before a candidate that its pattern is read from.
 CONTEXT_CHARS = 64
 
@@ -73,15 +75,10 @@ def lexical_pattern(before: Column) -> Column:
 
 
 def _candidates(text: Column) -> Column:
-    found = matches(marked(text, CANDIDATE))
+    found = matches(marked(text, CANDIDATE), CONTEXT_CHARS)
     return F.transform(
-        F.filter(found, lambda m: m["end"] - m["start"] <= 256),
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            m["value"].alias("value"),
-            lexical_pattern(F.substring(text, F.greatest(F.lit(1), (m["start"] + 1 - CONTEXT_CHARS).cast("int")), F.least(m["start"], F.lit(CONTEXT_CHARS)).cast("int"))).alias("pattern"),
-        ),
+        F.filter(found, lambda m: m["end"] - m["start"] <= LONGEST),
+        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), lexical_pattern(m["before"]).alias("pattern")),
     )
 
 

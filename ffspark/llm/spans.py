@@ -7,13 +7,18 @@ first swapped for another character of the same length, which no pattern mention
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK, INNER, OTHER = "\ue000", "\ue001", "\ue002"
 
-#: A match: code points [start, end), its text, and the text of the second group where the pattern marks one.
-MATCH = "array<struct<start:long,end:long,value:string,tail:string>>"
+#: A match: code points [start, end), its text, the text of the second group where the pattern marks one, and the
+#: characters before it where they are asked for.
+MATCH = "array<struct<start:long,end:long,value:string,tail:string,before:string>>"
+#: Running sums are made in blocks of this size, because an aggregate copies its state at every step.
+BLOCK = 256
 
 
 def clean_marks(text: Column) -> Column:
@@ -34,20 +39,54 @@ def marked(text: Column, pattern: str, inner: bool = False) -> Column:
     return F.regexp_replace(text, pattern, f"{MARK}$1{INNER}$2{MARK}" if inner else f"{MARK}$0{MARK}")
 
 
-def matches(marked_text: Column) -> Column:
-    """All matches of a marked text, in order."""
-    pieces = F.split(marked_text, MARK, -1)
-    none = F.array().cast(MATCH)
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("k"), none.alias("found"))
-
-    def step(s: Column, piece: Column) -> Column:
-        value = F.replace(piece, F.lit(INNER), F.lit(""))
-        end = s["at"] + F.char_length(value)
-        tail = F.when(F.contains(piece, F.lit(INNER)), F.substring_index(piece, INNER, -1))
-        one = F.array(F.struct(s["at"].alias("start"), end.alias("end"), value.alias("value"), tail.alias("tail"))).cast(MATCH)
-        return F.struct(end.alias("at"), (s["k"] + 1).alias("k"), F.when(s["k"] % 2 == 1, F.concat(s["found"], one)).otherwise(s["found"]).alias("found"))
-
-    return F.when(F.contains(marked_text, F.lit(MARK)), F.aggregate(pieces, start, step, lambda s: s["found"])).otherwise(none)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_starts(lengths: Column) -> Column:
+    """Where each of the items of these lengths begins: sums within blocks, after the sums of the blocks before."""
+
+    def sums(of: Column, first: Column) -> Column:
+        return F.aggregate(of, F.array(first), lambda s, v: F.concat(s, F.array(F.element_at(s, -1) + v)))
+
+    def body(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int")), lambda b: F.slice(items, b * BLOCK + 1, BLOCK))
+        zero = F.lit(0).cast("long")
+        total = lambda x: F.aggregate(x, zero, lambda s, v: s + v)
+        within = lambda bs: F.zip_with(bs, F.slice(sums(F.transform(bs, total), zero), 1, F.size(bs)), lambda x, first: F.slice(sums(x, first), 1, F.size(x)))
+        return F.flatten(let(blocks, within))
+
+    return let(lengths, body)
+
+
+def matches(marked_text: Column, context: int = 0) -> Column:
+    """All matches of a marked text, in order. With ``context``, ``before`` holds up to so many characters of the two
+    gaps and two matches before a match."""
+
+    def body(p: Column) -> Column:
+        starts = running_starts(F.transform(p, lambda v: F.char_length(F.replace(v, F.lit(INNER), F.lit(""))).cast("long")))
+        items = F.zip_with(p, starts, lambda v, at: F.struct(v.alias("v"), at.alias("at"), F.lit("").alias("before")))
+        if context:
+            shift = lambda k: F.slice(F.concat(F.array_repeat(F.lit(""), k), p), 1, F.size(p))
+            join = lambda x, y: F.right(F.concat(F.right(x, F.lit(context)), F.right(y, F.lit(context))), F.lit(context))
+            before = F.zip_with(F.zip_with(shift(4), shift(3), join), F.zip_with(shift(2), shift(1), join), join)
+            items = F.zip_with(items, before, lambda x, b: F.struct(x["v"].alias("v"), x["at"].alias("at"), b.alias("before")))
+        return F.transform(
+            F.filter(items, lambda x, k: k % 2 == 1),
+            lambda x: let(
+                F.replace(x["v"], F.lit(INNER), F.lit("")),
+                lambda value: F.struct(
+                    x["at"].alias("start"),
+                    (x["at"] + F.char_length(value)).alias("end"),
+                    value.alias("value"),
+                    F.when(F.contains(x["v"], F.lit(INNER)), F.substring_index(x["v"], INNER, -1)).alias("tail"),
+                    x["before"].alias("before"),
+                ),
+            ),
+        )
+
+    return F.when(F.contains(marked_text, F.lit(MARK)), let(F.split(marked_text, MARK, -1), body)).otherwise(F.array().cast(MATCH))
 
 
 def listing(spans: Column) -> Column:

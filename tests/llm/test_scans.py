@@ -74,7 +74,7 @@ def personal_of(t):
 PERSONAL = [
     None, "", "a@b.c", "a@b", "x a.b+c%d@e-f.gh.ij. y", "a@b.c@d.e", "x@y.com_z@w.org", "@a.b a@.b a@b..c", "1.2.3.4", "1.2.3.4.5.6.7.8", "256.1.1.1", "0001.002.03.4", "1.2.3", "999999999999.1.1.1", "4111 1111 1111 1111",
     "4111-1111-1111-1112", "4111 1111 1111 1111 0", "4111  1111", "+1 (743) 555-3824", "+1 2", "+12345678", "+123456789", "+1234567890123456", "+1 +1 555 555 5555", "4111111111111111+1 555 555 5555", "\U0001f600 a@b.c 1.1.1.1",
-    "a" * 100_000, "1" * 100_000, "a." * 20_000 + "@b.c", "a@b" + ".c" * 20_000, "1." * 20_000, "+1" + "-" * 50_000 + "2", "1 " * 20_000, "١.٢.3.4 +1٣ 555 555 555",
+    "a" * 5_000, "1" * 5_000, "a." * 20_000 + "@b.c", "a@b" + ".c" * 20_000, "1." * 5_000, "+1" + "-" * 5_000 + "2", "1 " * 20_000, "١.٢.3.4 +1٣ 555 555 555",
 ]
 
 
@@ -90,6 +90,12 @@ def test_personal_data(spark):
     assert pii.personal_data(frame(spark, PERSONAL).limit(0)).count() == 0
 
 
+def test_long_runs(spark):
+    """No pattern starts anew at every character of a run."""
+    got = {r.doc_id: r.spans for r in pii.personal_data(frame(spark, ["a" * 200_000, "1" * 200_000 + ".", "é" * 200_000])).collect()}
+    assert got == {0: "", 1: "", 2: ""}
+
+
 def test_bootstrapping_discovers(spark):
     texts = [f"Please write to user{k}@mail.example.com for more." for k in range(12)]
     texts += ["Please write to bob99@intranet for more.", "The year was 1999 and 20 men came.", "you write to agent007 at once"]
