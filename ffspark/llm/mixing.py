@@ -49,11 +49,11 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
             own = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t")).withColumn("share", F.when(F.col("t") > 0, F.pow("t", F.lit(flatten.get(d, 1.0)))).otherwise(0.0))
             share = own.select(d, "share")
         whole = share.agg(F.sum("share").alias("whole"))
-        margins[d] = materialise(share.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(total)).select(F.col(d).alias("value"), (F.col("share") / F.col("whole") * F.col("total")).alias("target")).where("target > 0"), f"target-{d}")
+        margins[d] = materialise(share.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(total)).select(F.col(d).alias("value"), (F.try_divide("share", "whole") * F.col("total")).alias("target")).where("target > 0"), f"target-{d}")
     for k in range(rounds):
         for d in dimensions:
             now = state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            factor = now.join(margins[d], now["value"].eqNullSafe(margins[d]["value"])).where("now > 0").select(now["value"], (F.col("target") / F.col("now")).alias("factor"))
+            factor = now.join(margins[d], now["value"].eqNullSafe(margins[d]["value"])).where("now > 0").select(now["value"], F.try_divide("target", "now").alias("factor"))
             state = state.join(factor, state[d].eqNullSafe(factor["value"]), "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("value", "factor")
         state = materialise(state, f"rake{k}")
     return state
@@ -62,7 +62,7 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     """Add ``probability``: min(1, c * weight / tokens), with c such that ``keep`` of all tokens would stay if no cell
     were capped at 1."""
-    c = raked.agg((F.lit(keep) * F.sum("tokens") / F.sum("weight")).alias("c"))
+    c = raked.agg(F.try_divide(F.lit(keep) * F.sum("tokens"), F.sum("weight")).alias("c"))
     return raked.crossJoin(F.broadcast(c)).withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("c") * F.col("weight") / F.col("tokens"))).otherwise(1.0)).drop("c")
 
 
