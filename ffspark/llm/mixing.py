@@ -40,16 +40,16 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
     round is written to shared storage, so the plan doesn't grow.
     """
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
-    total = cells.agg(F.sum("tokens").cast("double").alias("total"))
+    total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     margins = {}
     for d in dimensions:
         if targets and d in targets:
-            share = targets[d].select(d, F.col("share").cast("double").alias("share"))
+            share = targets[d].select(F.col(d).alias("value"), F.col("share").cast("double").alias("share"))
         else:
-            own = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("t")).withColumn("share", F.when(F.col("t") > 0, F.pow("t", F.lit(flatten.get(d, 1.0)))).otherwise(0.0))
-            share = own.select(d, "share")
-        whole = share.agg(F.sum("share").alias("whole"))
-        margins[d] = materialise(share.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(total)).select(F.col(d).alias("value"), (F.try_divide("share", "whole") * F.col("total")).alias("target")).where("target > 0"), f"target-{d}")
+            own = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").cast("double").alias("t"))
+            share = own.select("value", F.when(F.col("t") > 0, F.pow("t", F.lit(flatten.get(d, 1.0)))).otherwise(0.0).alias("share"))
+        whole = share.agg(F.sum("share")).first()[0] or 0.0
+        margins[d] = materialise(share.where("share > 0").select("value", (F.col("share") / F.lit(whole) * F.lit(total)).alias("target")), f"target-{d}")
     for k in range(rounds):
         for d in dimensions:
             now = state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
@@ -62,8 +62,9 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     """Add ``probability``: min(1, c * weight / tokens), with c such that ``keep`` of all tokens would stay if no cell
     were capped at 1."""
-    c = raked.agg(F.try_divide(F.lit(keep) * F.sum("tokens"), F.sum("weight")).alias("c"))
-    return raked.crossJoin(F.broadcast(c)).withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("c") * F.col("weight") / F.col("tokens"))).otherwise(1.0)).drop("c")
+    sums = raked.agg(F.sum("tokens").cast("double").alias("tokens"), F.sum("weight").alias("weight")).first()
+    c = keep * sums.tokens / sums.weight if sums.weight else 0.0
+    return raked.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("weight") / F.col("tokens"))).otherwise(1.0))
 
 
 def draw(doc_id: Column, seed: str = "mix") -> Column:
@@ -98,7 +99,7 @@ def sample(docs: DataFrame, id_col: str = "doc_id", **options: object) -> DataFr
 
 
 def oracle_sql(rounds: int = ROUNDS, keep: float = KEEP) -> str:
-    """The same in DuckDB: one pair of common table expressions for each raking step."""
+    """The same in DuckDB, with one common table expression for each raking step."""
     parts = [
         """d AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(x, 'License') OR contains(x, 'Copyright') THEN 'licence' WHEN contains(x, ' | ') THEN 'table'
              WHEN contains(x, ' = ') THEN 'code' ELSE 'prose' END AS topic, len(regexp_extract_all(x, '[^ \\t\\n\\v\\f\\r]+'))::BIGINT AS n_tokens
