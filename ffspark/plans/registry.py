@@ -252,10 +252,8 @@ def q_next_name(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_stream_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, scored and written, then read back."""
-    source = fx.table(spark, sf_dir, "events")
     landing, out = scratch_path(spark, "landing"), scratch_path(spark, "scores")
     fx.events(spark, sf_dir).select("sample_id", "features").write.parquet(landing)
-    del source
     stream = spark.readStream.schema("sample_id long, features array<double>").parquet(landing)
     scored = score_stream(stream, fixed_params(EV)).select("sample_id", "class")
     write_scores(scored, out, scratch_path(spark, "stream-checkpoint")).awaitTermination()
