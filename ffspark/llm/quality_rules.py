@@ -39,7 +39,7 @@ RULES = (
     Rule("symbol_ratio", "n_symbols", ">", 5, "word_chars"),
     Rule("short_words", "word_chars", "<", 200, "n_words"),
     Rule("long_words", "word_chars", ">", 2000, "n_words"),
-    Rule("duplicate_lines", "n_dup_lines", ">", 30, "n_lines"),
+    Rule("duplicate_lines", "n_dup_lines", ">", 50, "n_lines"),
     Rule("few_stop_words", "n_stop_words", "<", 3, "n_words", 40),
 )
 
@@ -123,7 +123,7 @@ m AS (SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(wor
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (100 * n_symbols > 5 * word_chars OR 100 * word_chars < 200 * n_words
-           OR 100 * word_chars > 2000 * n_words OR 100 * n_dup_lines > 30 * n_lines
+           OR 100 * word_chars > 2000 * n_words OR 100 * n_dup_lines > 50 * n_lines
            OR (n_words >= 40 AND 100 * n_stop_words < 3 * n_words)) AS kept, n_lines, n_stop_words
 FROM b
 """
