@@ -18,7 +18,7 @@ CAPACITY = 2048
 GROUP_DOCS = 4096
 END_ID = 1
 #: Words remembered by a Python worker; at the bound the memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64())])
 
@@ -26,8 +26,10 @@ PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 class WordCache:
     """Token ids of white-space separated chunks as little-endian bytes.
 
-    The tokenizer drops white space and never looks across it, so a text's ids are its chunks' ids in a row; each
-    different chunk is encoded once per worker.
+    The tokenizer lower-cases, drops white space and never looks across it, so a text's ids are its chunks' ids in a
+    row, and a chunk is encoded once as long as it is remembered. After letters, a run of full stops and commas at the
+    chunk's end is a pre-token of its own. Rare words are most of the new ones; those of letters only are encoded many in
+    one call, and cut apart where a token ends a word.
     """
 
     def __init__(self, tokenizer_file: str):
@@ -35,19 +37,61 @@ class WordCache:
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.encode_special_tokens = True
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[k for token, k in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
-    def learn(self, texts: list[bytes]) -> None:
+    def _encode_each(self, words: list[bytes]) -> None:
+        done = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(words, done, strict=True))
+
+    def _encode_letters(self, words: list[bytes]) -> None:
+        """Words of letters give one pre-token each; if the word ends don't come out even, each word goes by itself."""
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        if len(ends) != len(words) or ends[-1:] != [4 * len(ids)]:
+            self._encode_each(words)
+            return
+        data = ids.tobytes()
+        self.known.update((w, data[a:b]) for w, a, b in zip(words, [0, *ends], ends))
+
+    def _learn(self, chunks: list[bytes]) -> None:
+        known, tails, letters, others = self.known, [], set(), set()
+        for c in chunks:
+            core = c.rstrip(b".,")
+            if not (core.isalpha() or core.decode().lower().isalpha()):
+                others.add(c)
+                continue
+            letters.add(core)
+            if core != c:
+                tails.append((c, core, c[len(core) :]))
+                others.add(c[len(core) :])
+        letters, others = ([w for w in some if w not in known] for some in (letters, others))
+        for some, encode in ((letters, self._encode_letters), (others, self._encode_each)):
+            for at in range(0, len(some), 5000):
+                encode(some[at : at + 5000])
+        known.update((c, known[core] + known[tail]) for c, core, tail in tails)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
-        new = list({w for t in texts for w in t.split()} - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            done = self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, done, strict=True))
+        known, split = self.known, [t.lower().split() for t in texts]  # of bytes: A-Z and ASCII white space only
+        new = [w for w in set().union(*split) if w not in known]
+        if new:
+            self._learn(new)
+        return [b"".join([known[w] for w in words]) for words in split]
 
-    def ids(self, text: bytes) -> bytes:
-        return b"".join(map(self.known.__getitem__, text.split()))
+
+#: One per vocabulary file in each Python worker; a worker's later tasks find it filled.
+_CACHES: dict[str, WordCache] = {}
+
+
+def word_cache(tokenizer_file: str) -> WordCache:
+    if tokenizer_file not in _CACHES:
+        _CACHES[tokenizer_file] = WordCache(tokenizer_file)
+    return _CACHES[tokenizer_file]
 
 
 def pieces_of(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
@@ -61,15 +105,14 @@ def document_pieces(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id"
     end = np.array([END_ID], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordCache(tokenizer_file)
+        cache = word_cache(tokenizer_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [t or b"" for t in part.column(1).to_pylist()]
-                cache.learn(texts)
+                found = cache.encode([t or b"" for t in part.column(1).to_pylist()])
                 rows = [
                     (doc, start, length, crc, len(ids) // 4)
-                    for doc, ids in ((d, cache.ids(t) + end) for d, t in zip(part.column(0).to_pylist(), texts, strict=True))
+                    for doc, ids in ((d, x + end) for d, x in zip(part.column(0).to_pylist(), found, strict=True))
                     for start, length, crc in pieces_of(ids, capacity)
                 ]
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=PIECES)
