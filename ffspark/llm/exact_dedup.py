@@ -59,11 +59,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: Column, text: Column) -> DataFrame:
-    right = kept.select(F.col("doc_id").alias("__keep_id"), F.col("text_sha256").alias("__keep_sha"))
-    tagged = docs.withColumn("__id", doc_id).withColumn("__sha", F.sha2(fold_ascii(F.coalesce(text, F.lit(""))), 256))
-    out = tagged.join(right, F.col("__id").eqNullSafe(F.col("__keep_id")) & (F.col("__sha") == F.col("__keep_sha")), "left_semi")
+    """Rows of ``docs`` whose id and text ``kept`` names, each pair once. Both steps use one partitioning, so the texts
+    are shuffled once."""
+    name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
+    right = kept.select(name(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
+    tagged = docs.withColumn("__id", name(doc_id)).withColumn("__sha", F.sha2(fold_ascii(F.coalesce(text, F.lit(""))), 256))
     nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
-    return out.withColumn("__nth", nth).where("__nth = 1").drop("__id", "__sha", "__nth")
+    return tagged.join(right, ["__id", "__sha"], "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__id", "__sha", "__nth")
 
 
 ORACLE_SQL = """
