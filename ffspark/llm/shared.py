@@ -38,6 +38,17 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialise`` wrote and that nothing reads any more."""
+    spark, done = df.sparkSession, set()
+    for file in df.inputFiles():
+        folder = file.rpartition("/")[0]
+        if folder not in done:
+            done.add(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take Spark's byte-wise ``lower``; in others ``translate`` leaves
     accented letters alone."""
