@@ -7,12 +7,14 @@
 3. For the others, all shingles are counted; rare shingles come first in the global order (count, hash). Two linked
    nodes share a shingle within their first n - ceil(t n) + 1; the smaller one has it even within its first
    n - ceil(2t / (1 + t) n) + 1.
-4. Candidates meet on prefix shingles and pass length, positional and suffix filters. Only connectivity is asked for,
-   so each prefix shingle first links its nodes to one pivot; after that, pairs are made only between nodes that are
-   still in different components. Every pair is verified once, on the full sets.
-
-A shingle or a group that fills the corpus is pre-aggregated in step 2 and linked through pivots in step 4; no list of
-its documents is ever gathered.
+4. Candidates meet on prefix shingles and pass length, positional and suffix filters. For the components, each prefix
+   shingle first links its nodes to one pivot; after that, pairs are made only between nodes that are still in
+   different components. Every pair is verified once, on the full sets.
+5. A link never leaves its component, so the number of links of a node is counted over all pairs inside it: large
+   components are cut into blocks and every pair of blocks is one small group, small ones are put together.
+
+A shingle or a group that fills the corpus is pre-aggregated in step 2, linked through pivots in step 4 and spread
+over block pairs in step 5; no list of its documents is ever gathered.
 """
 
 from __future__ import annotations
@@ -38,6 +40,8 @@ HISTOGRAM, SPREAD = 16, 16
 FILTER_BITS = 1 << 27
 #: Nodes whose sample counts are added up in one group.
 BUCKET_NODES = 50_000
+#: Nodes and shingles of a block whose links are counted together, on average.
+BLOCK_NODES, BLOCK_KEYS = 1_000, 200_000
 
 PASS = "ref long, doc_id long, node binary, node_id long, n long, sampled long, local long, slice int, keys binary, owners binary"
 
@@ -197,12 +201,91 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
 
 
-def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all sets in ``a`` with all in ``b``. Frequent shingles are columns of a matrix
+    product, rare ones are counted pair by pair."""
+    sizes = [np.array([len(x) for x in side]) for side in (a, b)]
+    _, column = np.unique(np.concatenate(a + b), return_inverse=True)
+    cut, width = int(sizes[0].sum()), int(column.max()) + 1
+    rows, columns = [np.repeat(np.arange(len(n)), n) for n in sizes], [column[:cut], column[cut:]]
+    da, db = (np.bincount(c, minlength=width) for c in columns)
+    counts = np.zeros((len(a), len(b)), np.int64)
+
+    hot = np.flatnonzero(da * db * 100 > len(a) * len(b))
+    place = np.full(width, -1)
+    place[hot] = np.arange(len(hot))
+    for at in range(0, len(hot), 2048):
+        n, dense = min(2048, len(hot) - at), []
+        for r, c in zip(rows, columns, strict=True):
+            p = place[c] - at
+            inside = (p >= 0) & (p < n)
+            m = np.zeros((sizes[len(dense)].size, n), np.float32)
+            m[r[inside], p[inside]] = 1
+            dense.append(m)
+        counts += (dense[0] @ dense[1].T).astype(np.int64)
+
+    rare = (place < 0) & (da > 0) & (db > 0)
+    order = np.argsort(columns[1], kind="stable")
+    first = np.cumsum(db) - db
+    ra, ca = rows[0][rare[columns[0]]], columns[0][rare[columns[0]]]
+    ends = np.cumsum(db[ca])
+    at = 0
+    while at < len(ra):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 500_000)))
+        n = db[ca[at:to]]
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        other = rows[1][order[np.repeat(first[ca[at:to]], n) + inner]]
+        counts += np.bincount(np.repeat(ra[at:to], n) * len(b) + other, minlength=counts.size).reshape(counts.shape)
+        at = to
+    return counts
+
+
+def _links_in_group(table: pa.Table, num: int, den: int) -> pa.Table:
+    """id and number of links of the nodes of a group: inside one block, or between two."""
+    ids, block = table.column("id").to_numpy(), table.column("block").to_numpy()
+    if block.min() == block.max() and table.column("i")[0].as_py() != table.column("j")[0].as_py():  # the other block is empty
+        return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(np.zeros(len(ids)), pa.int64())})
+    hashes = table.column("hashes").combine_chunks()
+    if isinstance(hashes, pa.ChunkedArray):
+        hashes = pa.concat_arrays(hashes.chunks)
+    flat, ends = hashes.flatten().to_numpy(), np.cumsum(hashes.value_lengths().to_numpy())
+    sets = np.split(flat, ends[:-1])
+    x = np.flatnonzero(block == block.min())
+    y = np.flatnonzero(block == block.max())
+    n = np.diff(ends, prepend=0)
+    linked = (den + num) * _overlaps([sets[k] for k in x], [sets[k] for k in y]) >= num * (n[x][:, None] + n[y][None, :])
+    found = np.zeros(len(ids), np.int64)
+    if block.min() == block.max():
+        np.fill_diagonal(linked, False)
+        found[x] = linked.sum(axis=1)
+    else:
+        found[x], found[y] = linked.sum(axis=1), linked.sum(axis=0)
+    return pa.table({"id": pa.array(ids, pa.int64()), "n": pa.array(found, pa.int64())})
+
+
+def _link_counts(comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """id and n_links, the number of nodes linked with it, for all nodes in ``comps`` (id, comp), from all pairs inside
+    each component. The nodes of a large component get blocks by a hash, and each pair of blocks is a group; small
+    components share groups, where pairs of different components fail the comparison like others."""
+    blocks = lambda: F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_KEYS)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
+    members = materialise(comps.join(sets.select("id", "n", "hashes"), "id"), "members")
+    sized = members.groupBy("comp").agg(blocks().alias("blocks"))
+    bins = members.agg(blocks()).first()[0]
+    rows = members.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    small = rows.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "block", "id", "hashes")
+    large = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    large = large.select(F.col("comp").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "hashes")
+    found = small.unionByName(large).groupBy("g", "i", "j").applyInArrow(lambda t: _links_in_group(t, num, den), "id long, n long")
+    return found.groupBy("id").agg(F.sum("n").alias("n_links"))
+
+
+def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
 
     Words are runs of characters other than ASCII white space, with A-Z in lower case. Two documents link if
     den * intersection >= num * union of their sets of shingles of ``words`` words; component_id is the smallest id
-    reachable by links, itself included, and class_id the smallest id with an equal set. A text without words (null
+    reachable by links, itself included, class_id the smallest id with an equal set, and n_links the number of other
+    sets that the document's set links with (all of them; 0 without ``count_links``). A text without words (null
     and empty ones too) has no shingles and links with nothing. Null ids take part, but give no component its number;
     a component of null ids only has a null id. Repeated ids are separate rows. An empty table gives an empty result.
     """
@@ -257,8 +340,9 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     links = links.unionByName(more)
     comps = connected_components(links)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n_links"))
-    named = comps.withColumnRenamed("node", "id").join(sets.select("id", "node"), "id").join(degree, "id").join(nodes.select("node", "class_id"), "node")
+    comps = comps.withColumnRenamed("node", "id")
+    degree = materialise(_link_counts(comps, sets, num, den), "degrees") if count_links else comps.select("id", F.lit(0).cast("long").alias("n_links"))
+    named = comps.join(sets.select("id", "node"), "id").join(degree, "id").join(nodes.select("node", "class_id"), "node")
     lowest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
     linked = named.join(lowest, "comp").select("node", "component_id", "class_id", "n_links")
     copies = nodes.where("copies > 1").select("node", F.col("class_id").alias("component_id"), "class_id", F.lit(0).cast("long").alias("n_links"))
@@ -272,7 +356,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     """The rows of ``docs`` that stay, all columns unchanged: of each component the one with the smallest id, and all
     texts without words. Of rows that repeat an id and a text, one stays; rows that repeat an id with other texts stay
     or go together."""
-    groups = near_groups(docs, words, num, den, id_col, text_col)
+    groups = near_groups(docs, words, num, den, id_col, text_col, count_links=False)
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("ref").alias("__ref")).distinct()
     key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     tagged = docs.withColumn("__key", key).withColumn("__ref", F.coalesce(F.col(id_col).cast("long"), F.col("__key")))

@@ -85,6 +85,26 @@ def test_near_groups_of_one_large_group(spark):
     assert {r.doc_id: r.component_id for r in ngram_join.near_groups(docs(spark, texts, parts=7), 4, 85, 100).collect()} == dict(enumerate(comp))
 
 
+@pytest.mark.parametrize("block", [1000, 9])
+def test_near_links_are_all_counted(spark, monkeypatch, block):
+    """Against brute force over all pairs, with groups inside one block and over many of them."""
+    monkeypatch.setattr(ngram_join, "BLOCK_NODES", block)
+    rng = random.Random(block)
+    base = [f"w{k}" for k in range(120)]
+    texts = near_texts(3) + [" ".join(["x"] * k + base + ["y"] * k) for k in range(3)]
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    sets = [frozenset(s) for s in sets_of(texts, 4)]
+    distinct = {s for s in sets if s}
+    want = {k: sum(100 * len(s & y) >= 85 * len(s | y) for y in distinct if y != s) if s else 0 for k, s in enumerate(sets)}
+    assert max(want.values()) > 15
+    for parts in (1, 5):
+        assert {r.doc_id: r.n_links for r in ngram_join.near_groups(docs(spark, texts, parts=parts), 4, 85, 100).collect()} == want
+
+
 def test_near_edges(spark):
     assert ngram_join.near_groups(docs(spark, ["a"]).limit(0)).count() == 0
     long = " ".join(f"w{k}" for k in range(200_000))
