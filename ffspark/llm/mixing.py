@@ -3,6 +3,10 @@
 The corpus is summed up to cells (source, language, topic) of tokens. Raking scales the cells so that their sums over
 each dimension meet the target marginals in turn; the cells stay a distributed table, however many sources there are.
 A document is then kept with its cell's calibrated probability, decided by a hash of its id.
+
+No cell can give more than it has, so ``calibrate`` rakes the kept tokens under that bound: what a full cell can't give
+is taken from others until the sums hold again. ``shares`` lists targets against expected shares. The query op9_mixing
+keeps the plain form (``bounded=False``, probabilities cut off at 1), which its SQL counterpart fixes.
 """
 
 from __future__ import annotations
@@ -16,6 +20,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Marginal targets are the dimension's own token share to this power, renewed to a sum of 1: 1 keeps it, 0 is uniform.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 1.0}
 ROUNDS, KEEP = 6, 0.75
+#: Most rounds under the bound, and the error of a sum, as a share of all kept tokens, at which they end.
+BOUNDED_ROUNDS, TOLERANCE = 40, 5e-4
 
 
 def token_count(text: Column) -> Column:
@@ -40,6 +46,14 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
     round is written to shared storage, so the plan doesn't grow.
     """
     state = cells.withColumn("weight", F.col("tokens").cast("double"))
+    margins = _margins(cells, targets, dimensions, flatten)
+    for k in range(rounds):
+        state = materialise(_round(state, margins), f"rake{k}")
+    return state
+
+
+def _margins(cells: DataFrame, targets: dict[str, DataFrame] | None, dimensions: tuple[str, ...], flatten: dict[str, float]) -> dict[str, DataFrame]:
+    """For each dimension a table (value, target) of tokens, whose sum is that of all cells."""
     total = cells.agg(F.sum("tokens").cast("double")).first()[0] or 0.0
     margins = {}
     for d in dimensions:
@@ -50,15 +64,63 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, dimensio
             share = own.select("value", F.when(F.col("t") > 0, F.pow("t", F.lit(flatten.get(d, 1.0)))).otherwise(0.0).alias("share"))
         whole = share.agg(F.sum("share")).first()[0] or 0.0
         margins[d] = materialise(share.where("share > 0").select("value", (F.col("share") / F.lit(whole) * F.lit(total)).alias("target")), f"target-{d}")
-    for k in range(rounds):
-        for d in dimensions:
-            now = state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
-            factor = now.join(margins[d], now["value"].eqNullSafe(margins[d]["value"])).where("now > 0").select(now["value"], F.try_divide("target", "now").alias("factor"))
-            state = state.join(factor, state[d].eqNullSafe(factor["value"]), "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("value", "factor")
-        state = materialise(state, f"rake{k}")
+    return margins
+
+
+def _round(state: DataFrame, margins: dict[str, DataFrame]) -> DataFrame:
+    for d in margins:
+        now = state.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("now"))
+        factor = now.join(margins[d], now["value"].eqNullSafe(margins[d]["value"])).where("now > 0").select(now["value"], F.try_divide("target", "now").alias("factor"))
+        state = state.join(factor, state[d].eqNullSafe(factor["value"]), "left").withColumn("weight", F.col("weight") * F.coalesce("factor", F.lit(0.0))).drop("value", "factor")
     return state
 
 
+def _reachable(margin: DataFrame, cells: DataFrame, d: str, keep: float) -> DataFrame:
+    """(value, wanted, target): ``wanted`` is ``keep`` of the margin's target. A value with fewer tokens than that gets
+    all it has, and the others share the rest in proportion, so that the sum holds if all tokens suffice."""
+    own = cells.groupBy(F.col(d).alias("v")).agg(F.sum("tokens").cast("double").alias("has"))
+    both = materialise(margin.join(own, margin["value"].eqNullSafe(own["v"]), "left").select("value", (F.col("target") * F.lit(keep)).alias("wanted"), F.coalesce("has", F.lit(0.0)).alias("has")), f"reach-{d}")
+    goal = both.agg(F.sum("wanted")).first()[0] or 0.0
+    scale, full = 1.0, -1
+    while True:
+        is_full = F.col("wanted") * F.lit(scale) >= F.col("has")
+        sums = both.agg(F.count_if(is_full).alias("n"), F.sum(F.when(is_full, F.col("has")).otherwise(0.0)).alias("has"), F.sum(F.when(is_full, 0.0).otherwise(F.col("wanted"))).alias("open")).first()
+        if sums.n == full or not sums.open:
+            return both.select("value", "wanted", F.least("has", F.col("wanted") * F.lit(scale)).alias("target"))
+        full, scale = sums.n, (goal - sums.has) / sums.open
+
+
+def calibrate(cells: DataFrame, targets: dict[str, DataFrame] | None = None, keep: float = KEEP, rounds: int = BOUNDED_ROUNDS) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """``cells`` with ``weight``, the tokens to keep of each cell, never more than it has, and ``probability``; and for
+    each dimension its table (value, wanted, target), see ``_reachable``.
+
+    Scaling to one dimension's sums and cutting at a cell's tokens are projections in turn onto convex sets, and lead to
+    a common point if there is one. Ends when all sums are within ``TOLERANCE``, or after ``rounds`` (targets that
+    can't hold together; ``shares`` shows what is reached)."""
+    goals = {d: materialise(_reachable(m, cells, d, keep), f"goal-{d}") for d, m in _margins(cells, targets, DIMENSIONS, FLATTEN).items()}
+    margins = {d: g.select("value", "target") for d, g in goals.items()}
+    state = cells.withColumn("weight", F.col("tokens") * F.lit(keep))
+    for k in range(rounds):
+        state = materialise(_round(state, margins).withColumn("weight", F.least("weight", F.col("tokens").cast("double"))), f"bounded{k}")
+        worst = shares(state, goals).agg(F.max(F.abs(F.col("expected_share") - F.col("target_share")))).first()[0]
+        if worst is None or worst < TOLERANCE:
+            break
+    return state.withColumn("probability", F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.col("weight") / F.col("tokens"))).otherwise(1.0)), goals
+
+
+def shares(state: DataFrame, goals: dict[str, DataFrame]) -> DataFrame:
+    """dimension, value, wanted_share, target_share, expected_share, all of the tokens to keep. ``target_share`` differs
+    from ``wanted_share`` where a value hasn't enough tokens, and for the others that make up for it."""
+    parts = None
+    for d, goal in goals.items():
+        now = state.groupBy(F.col(d).alias("v")).agg(F.sum("weight").alias("now"))
+        whole = goal.agg(F.sum("target").alias("whole"))
+        part = goal.join(now, goal["value"].eqNullSafe(now["v"]), "left").crossJoin(whole)
+        part = part.select(F.lit(d).alias("dimension"), F.col("value").cast("string").alias("value"), *[F.try_divide(F.coalesce(c, F.lit(0.0)), "whole").alias(n) for c, n in (("wanted", "wanted_share"), ("target", "target_share"), ("now", "expected_share"))])
+        parts = part if parts is None else parts.unionByName(part)
+    return parts
+
+
 def probabilities(raked: DataFrame, keep: float = KEEP) -> DataFrame:
     """Add ``probability``: min(1, c * weight / tokens), with c such that ``keep`` of all tokens would stay if no cell
     were capped at 1."""
@@ -73,9 +135,11 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP, bounded: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, probability, kept.
 
+    Without ``bounded``, probabilities come from ``rounds`` rounds of plain raking and are cut off at 1.
+
     Tokens are words. Texts without words weigh nothing and are kept. Null sources and languages are values of their
     own. Rows that repeat an id share one draw. An empty table gives an empty result. Other columns are ignored.
     """
@@ -83,7 +147,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(lang_col).alias("lang"), topic_of(text).alias("topic"), token_count(text).alias("n_tokens"))
     rows = materialise(rows, "mix")
     cells = materialise(rows.groupBy(*DIMENSIONS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    chance = probabilities(rake(cells, targets, rounds=rounds), keep).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "probability")
+    raked = calibrate(cells, targets, keep)[0] if bounded else probabilities(rake(cells, targets, rounds=rounds), keep)
+    chance = raked.select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], "probability")
     same = F.lit(True)
     for d in DIMENSIONS:
         same = same & F.col(d).eqNullSafe(F.col(f"__{d}"))

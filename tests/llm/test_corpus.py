@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from ffspark.llm import mixing, ngram_join, packing, quality_knn, queries
 from ffspark.llm.components import connected_components
@@ -197,6 +198,29 @@ def test_mixing_meets_its_targets(spark):
     assert len(got) == len(rows)
 
 
+def test_sampled_shares_meet_their_targets(spark):
+    """A large source, a tail of small ones, and one that has fewer tokens than its target."""
+    rng = random.Random(9)
+    sizes = {"hot": 400} | {f"s{k}": int(200 * 0.75**k) + 1 for k in range(12)}
+    rows = [(s, lang, " ".join(["word"] * rng.randrange(5, 30)), None) for s, n in sizes.items() for lang, w in (("en", 5), ("fr", 2), ("es", 1)) for _ in range(n * w)]
+    table = spark.createDataFrame([(k, t, lang, s) for k, (s, lang, t, _) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    cells = table.groupBy("source", "lang", mixing.topic_of(F.col("text")).alias("topic")).agg(F.sum(mixing.token_count(F.col("text"))).alias("tokens")).localCheckpoint()
+    state, goals = mixing.calibrate(cells)
+    table_of = {(r.dimension, r.value): r for r in mixing.shares(state, goals).collect()}
+    assert all(abs(r.expected_share - r.target_share) < 1e-3 for r in table_of.values())
+    total, has = sum(r.tokens for r in cells.collect()), {r.source: r.t for r in cells.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    short = {v for (d, v), r in table_of.items() if d == "source" and r.wanted_share * 0.75 * total > has[v]}
+    assert short and all(abs(table_of["source", v].target_share * 0.75 * total - has[v]) < 1e-3 * total for v in short)
+    got = mixing.mix(table).where("kept").groupBy("source", "lang").agg(F.sum("n_tokens").alias("t")).collect()
+    kept = sum(r.t for r in got)
+    assert abs(kept / total - 0.75) < 0.02
+    for d in ("source", "lang"):
+        sums = collections.Counter()
+        for r in got:
+            sums[r[d]] += r.t
+        assert all(abs(sums[v] / kept - r.target_share) < 0.01 for (x, v), r in table_of.items() if x == d)
+
+
 def test_mix_edges(spark):
     texts = [f"word {k} and more" for k in range(200)] + [None, "", "a | b", "Released under the MIT License."]
     got = mixing.mix(docs(spark, texts), keep=0.5).collect()
