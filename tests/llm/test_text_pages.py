@@ -80,6 +80,30 @@ def test_extraction(spark):
     assert html_extract.extract_main_text(pages(spark, rows).limit(0)).count() == 0
 
 
+def test_partners_for_any_partitioning(spark):
+    """Pages at range borders, groups of copies and near copies of one path; without an article element."""
+    plain = lambda own: f"<p>Welcome</p><p>{own}</p><p>Contact us</p>"
+    rows = [(k, f"http://h{k % 3}.org/p/{k:03}", plain(f"text {k}")) for k in range(60)]
+    rows += [(100 + k, f"http://h0.org/q?v={k}", plain("Copied")) for k in range(8)]
+    rows += [(200 + k, "http://h1.org/r", plain(f"Long</p><p>near</p><p>copy</p><p>version {k}")) for k in range(8)]
+    rows += [(300 + k, f"http://h2.org/s/{k}", plain("Mirrored")) for k in range(8)] + [(400, "http://one.org/a?1", plain("one")), (401, "http://one.org/a?2", plain("two"))]
+    want = {k: f"text {k}" for k in range(60)} | {100 + k: "Copied" for k in range(8)} | {200 + k: f"Long\nnear\ncopy\nversion {k}" for k in range(8)}
+    want |= {300 + k: "Mirrored" for k in range(8)} | {400: "one", 401: "two"}
+    seen = []
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for n in (1, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            got = {r.page_id: r for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+            assert {k: r.text for k, r in got.items()} == want
+            seen.append({k: r.neighbour_id for k, r in got.items()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    assert seen[0] == seen[1]
+
+
 def test_extraction_of_the_page_table(spark, sf_dir):
     """These pages hold their text in h1 and p elements of one article."""
     import html
