@@ -37,6 +37,18 @@ def test_article_lines():
     assert texts(page_lines("<article><p>x</p><script>never ends"), html_extract.ARTICLE) == ["x"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<main class='content with-sidebar'><p>Text</p></main>", "<article class='post has-comments'><p>Text</p></article>", "<div id='page-header-wrap'><article><p>Text</p></article></div>",
+        "<div class=header><article><p>Text</p></article></div>", "<article><section id='discussion'><p>Text</p></section></article>", "<article><div class='related-work'><p>Text</p></div></article>",
+        "<article><div class='notice'><p>Text</p></div></article>", "<article><div data-id='nav' data-role=menu><p>Text</p></div></article>", "<nav>" + "<b>" * 300 + "menu</nav><article><p>Text</p></article>",
+    ],
+)
+def test_attribute_words_leave_articles_alone(page):
+    assert texts(page_lines(page), html_extract.ARTICLE) == ["Text"]
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
