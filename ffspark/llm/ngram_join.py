@@ -9,12 +9,16 @@
    n - ceil(2t / (1 + t) n) + 1.
 4. Candidates meet on prefix shingles and pass length, positional and suffix filters. For the components, each prefix
    shingle first links its nodes to one pivot; after that, pairs are made only between nodes that are still in
-   different components. Every pair is verified once, on the full sets.
+   different components, of about equal length, with the list of a frequent shingle cut into blocks. Every pair is
+   verified once, on the full sets.
 5. A link never leaves its component, so the number of links of a node is counted over all pairs inside it: large
    components are cut into blocks and every pair of blocks is one small group, small ones are put together.
 
 A shingle or a group that fills the corpus is pre-aggregated in step 2, linked through pivots in step 4 and spread
-over block pairs in step 5; no list of its documents is ever gathered.
+over block pairs in step 5; no list of its documents is ever gathered, and what many rows look up is spread over parts.
+Texts that are put together from a few phrases, all frequent, without being near duplicates have no rare prefix: an
+exact join has to compare those of equal length and prefix, so their work, though not a task's share, grows faster than
+their number.
 """
 
 from __future__ import annotations
@@ -27,21 +31,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ffspark.llm.components import connected_components
-from ffspark.llm.shared import discard, materialise
+from ffspark.llm.shared import PARTS, arrow_batches, discard, fresh, lookup, materialise
 from ffspark.llm.shingles import fingerprint, shingle_sets
 
 #: Share of the hash space that the first filter looks at, and sampled shingles for each of its reduce groups.
-SAMPLE, RANGE_KEYS = 0.4, 1_000_000
-#: Shingles that a task holds before it ships a blob.
-HELD_KEYS = 1_000_000
-HISTOGRAM, SPREAD = 16, 16
+SAMPLE, RANGE_KEYS = 0.4, 250_000
+#: Sampled shingles that a task holds before it ships blobs, and size of the batches in which it gets the texts.
+HELD_KEYS, BATCH = 250_000, "8m"
+HISTOGRAM = 16
 
 #: Largest bitmap (16 MB) that picks out the texts of documents still in play.
 FILTER_BITS = 1 << 27
 #: Nodes whose sample counts are added up in one group.
-BUCKET_NODES = 50_000
+BUCKET_NODES = 10_000
 #: Nodes and shingles of a block whose links are counted together, on average.
 BLOCK_NODES, BLOCK_KEYS = 1_000, 200_000
+#: Prefix entries of one shingle that are compared in one place; a list beyond that is cut into such blocks.
+BLOCK_POSTINGS = 256
 
 PASS = "ref long, doc_id long, node binary, node_id long, n long, sampled long, local long, slice int, keys binary, owners binary"
 
@@ -100,7 +106,7 @@ def _first_pass(docs: DataFrame, words: int, ranges: int) -> DataFrame:
                 part = batch.slice(at, 256)
                 sets = shingle_sets([t or b"" for t in part.column(2).to_pylist()], words)
                 for ref, doc, s in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), sets, strict=True):
-                    h = s[: np.searchsorted(s, np.uint64(int(SAMPLE * 2**64)))]
+                    h = s[: np.searchsorted(s, np.uint64(int(SAMPLE * 2**64)))].copy()
                     node = fingerprint(s)
                     held.append((ref, doc, node, int.from_bytes(node[:8], "little", signed=True) if node else None, len(s), h))
                     count += len(h)
@@ -155,7 +161,7 @@ def _membership(refs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def _survivor_sets(source: DataFrame, words: int, alive: DataFrame) -> DataFrame:
-    """node and hashes of the texts whose ref may be in ``alive``, without moving the others."""
+    """id, node, n and hashes of the nodes in ``alive``; texts whose ref can't be in it aren't moved."""
     bits, bitmap = _membership(alive.select("ref"))
     shared = source.sparkSession.sparkContext.broadcast(bitmap)
 
@@ -170,7 +176,11 @@ def _survivor_sets(source: DataFrame, words: int, alive: DataFrame) -> DataFrame
                 )
 
     placed = source.select(F.pmod(F.xxhash64("ref"), F.lit(bits)).alias("place"), F.col("text").cast("binary").alias("text"))
-    return placed.mapInArrow(run, "node binary, hashes array<long>")
+    found = placed.mapInArrow(run, "node binary, hashes array<long>").join(alive.select("node", "n"), "node").dropDuplicates(["node"])
+    with arrow_batches(source.sparkSession, BATCH):
+        sets = materialise(found.select(F.monotonically_increasing_id().alias("id"), "node", "n", "hashes"), "sets")
+    shared.destroy()
+    return sets
 
 
 def _ceil(a: Column, num: int, den: int) -> Column:
@@ -179,26 +189,46 @@ def _ceil(a: Column, num: int, den: int) -> Column:
 
 
 def _filters(num: int, den: int) -> Column:
-    """Length, positional and suffix filter on columns of x and y. The suffix filter bounds the overlap by the smaller
-    counts of shared shingles in each of ``HISTOGRAM`` classes."""
-    need = _ceil(F.col("x.n") + F.col("y.n"), num, num + den)
-    length = (den * F.col("x.n") >= num * F.col("y.n")) & (den * F.col("y.n") >= num * F.col("x.n"))
-    position = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need
-    suffix = F.aggregate(F.zip_with("x.hist", "y.hist", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v) >= need
+    """Length, positional and suffix filter on columns with and without ``y_``. The suffix filter bounds the overlap by
+    the smaller counts of shared shingles in each of ``HISTOGRAM`` classes."""
+    n, y_n = F.col("n"), F.col("y_n")
+    need = _ceil(n + y_n, num, num + den)
+    length = (den * n >= num * y_n) & (den * y_n >= num * n)
+    position = F.least(n - F.col("pos"), y_n - F.col("y_pos")) >= need
+    suffix = F.aggregate(F.zip_with("hist", "y_hist", lambda a, b: F.least(a, b)), F.lit(0), lambda s, v: s + v) >= need
     return length & position & suffix
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The linked ones of ``pairs`` (a, b): each pair is compared once, on its full sets."""
-    a = sets.select(F.col("id").alias("a"), F.col("hashes").alias("ha"))
-    b = sets.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    both = pairs.join(a, "a").join(b, "b")
-    inter = F.size(F.array_intersect("ha", "hb"))
-    return both.select("a", "b", inter.alias("i"), F.size("ha").alias("na"), F.size("hb").alias("nb")).where((den + num) * F.col("i") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
+    """The linked ones of ``pairs`` (a, b): each pair is compared once, on its full sets. A node with very many pairs has
+    them dealt to parts, and its set goes to those parts."""
+    dealt = pairs.select("a", "b", *[F.pmod(F.xxhash64(o), F.lit(PARTS)).cast("int").alias(f"part_{c}") for c, o in ("ab", "ba")])
+    side = lambda c: dealt.select(c, f"part_{c}").distinct().join(sets.select(F.col("id").alias(c), F.col("hashes").alias(f"h{c}")), c)
+    both = dealt.join(side("a"), ["a", "part_a"]).join(side("b"), ["b", "part_b"])
+    both = both.select("a", "b", F.size(F.array_intersect("ha", "hb")).alias("i"), F.size("ha").alias("na"), F.size("hb").alias("nb"))
+    return both.where((den + num) * F.col("i") >= num * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).where("a <> b").distinct()
+    return pairs.select(F.least("id", "y_id").alias("a"), F.greatest("id", "y_id").alias("b")).where("a <> b").distinct()
+
+
+def _apart(held: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that share a prefix shingle and pass the filters; ``held`` has the
+    postings with ``comp``.
+
+    The smaller set is looked up by its shorter prefix. Sets meet in classes of length, where linked ones are at most one
+    apart, and a shingle's list is cut into blocks of ``BLOCK_POSTINGS``, which all its other entries visit."""
+    short = F.col("pos") <= F.col("n") - _ceil(F.col("n"), 2 * num, num + den)
+    blocks = F.ceil(F.count_if(short) / F.lit(BLOCK_POSTINGS)).cast("int")
+    mixed = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), blocks.alias("blocks")).where("lo <> hi AND blocks > 0")
+    size_class = F.floor(F.log("n") / F.lit(float(np.log(den / num) * 1.001))).cast("int")
+    open_ = lookup(held, "h", mixed.select("h", "blocks")).withColumn("class", size_class)
+    x = open_.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    y = open_.where(short).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    y = y.select("h", "block", F.explode(F.array("class", F.col("class") + 1)).alias("class"), *[F.col(c).alias(f"y_{c}") for c in ("id", "n", "pos", "hist", "comp")])
+    bigger = (F.col("n") > F.col("y_n")) | ((F.col("n") == F.col("y_n")) & (F.col("id") > F.col("y_id")))
+    return _ordered(x.join(y, ["h", "block", "class"]).where(bigger & (F.col("comp") != F.col("y_comp")) & _filters(num, den)))
 
 
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -268,10 +298,11 @@ def _link_counts(comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     each component. The nodes of a large component get blocks by a hash, and each pair of blocks is a group; small
     components share groups, where pairs of different components fail the comparison like others."""
     blocks = lambda: F.greatest(F.ceil(F.sum("n") / F.lit(BLOCK_KEYS)), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_NODES)), F.lit(1)).cast("int")
-    members = materialise(comps.join(sets.select("id", "n", "hashes"), "id"), "members")
-    sized = members.groupBy("comp").agg(blocks().alias("blocks"))
-    bins = members.agg(blocks()).first()[0]
-    rows = members.join(sized, "comp").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    sizes = comps.join(sets.select("id", "n"), "id")
+    sized = sizes.groupBy("comp").agg(blocks().alias("blocks"))
+    bins = sizes.agg(blocks()).first()[0]
+    placed = materialise(lookup(comps, "comp", sized), "placed")
+    rows = placed.join(sets.select("id", "hashes"), "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     small = rows.where("blocks = 1").select(F.pmod(F.xxhash64("comp"), F.lit(bins)).alias("g"), F.lit(-1).alias("i"), F.lit(-1).alias("j"), "block", "id", "hashes")
     large = rows.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     large = large.select(F.col("comp").alias("g"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "hashes")
@@ -288,6 +319,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     sets that the document's set links with (all of them; 0 without ``count_links``). A text without words (null
     and empty ones too) has no shingles and links with nothing. Null ids take part, but give no component its number;
     a component of null ids only has a null id. Repeated ids are separate rows. An empty table gives an empty result.
+    Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("ref"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
@@ -295,25 +327,27 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     ranges = max(1, round(SAMPLE * total["size"] / 7 / RANGE_KEYS))
     buckets = max(1, -(-total["n"] // BUCKET_NODES))
 
-    passed = materialise(_first_pass(source, words, ranges), "shingles")
+    with arrow_batches(docs.sparkSession, BATCH):
+        passed = materialise(_first_pass(source, words, ranges), "shingles")
     rows = materialise(passed.where("slice IS NULL").select("ref", "doc_id", "node", "node_id", "n", "sampled", "local"), "documents")
     blobs = passed.where("slice IS NOT NULL").select("slice", "keys", "owners")
-    hits = blobs.groupBy("slice").applyInArrow(lambda t: _shared_in_slice(t, buckets), "bucket int, nodes binary, hits binary").groupBy("bucket").applyInArrow(_sum_hits, "node_id long, hits long")
+    hits = blobs.groupBy("slice").applyInArrow(lambda t: _shared_in_slice(t, buckets), "bucket int, nodes binary, hits binary")
+    hits = materialise(hits, "hits")
+    discard(passed)
+    summed = hits.groupBy("bucket").applyInArrow(_sum_hits, "node_id long, hits long")
     # A shingle shared within every task that has the node is counted by the smallest of their local counts at least.
     nodes = rows.where("node IS NOT NULL").groupBy("node", "node_id").agg(
         F.min("ref").alias("ref"), F.max("n").alias("n"), F.max("sampled").alias("sampled"), F.min("local").alias("local"), F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("copies")
     )
-    nodes = nodes.join(hits, "node_id", "left").withColumn("found", F.col("local") + F.coalesce("hits", F.lit(0)))
+    nodes = nodes.join(summed, "node_id", "left").withColumn("found", F.col("local") + F.coalesce("hits", F.lit(0)))
     nodes = materialise(nodes, "nodes")
-    discard(passed)
-    alive = materialise(nodes.where(F.col("sampled") - F.col("found") <= F.col("n") - _ceil(F.col("n"), num, den)).select("node", "ref", "n"), "alive")
-
-    sets = _survivor_sets(source, words, alive).join(alive.select("node", "n"), "node").dropDuplicates(["node"])
-    sets = materialise(sets.select(F.monotonically_increasing_id().alias("id"), "node", "n", "hashes"), "sets")
+    discard(hits)
+    alive = nodes.where(F.col("sampled") - F.col("found") <= F.col("n") - _ceil(F.col("n"), num, den)).select("node", "ref", "n")
+    sets = _survivor_sets(source, words, alive)
 
     tokens = sets.select("id", "n", F.explode("hashes").alias("h"))
     counts = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = tokens.join(counts, "h")
+    shared = lookup(tokens, "h", counts)
     order = Window.partitionBy("id").orderBy("df", "h")
     everything = Window.partitionBy("id")
     histogram = F.array(*[F.sum((F.pmod("h", F.lit(HISTOGRAM)) == k).cast("int")).over(everything).cast("int") for k in range(HISTOGRAM)])
@@ -321,35 +355,33 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     postings = materialise(placed.where(F.col("pos") <= F.col("n") - _ceil(F.col("n"), num, den)), "postings")
 
     # First round: every prefix shingle links its nodes to a pivot, the one that has it earliest in its order.
-    pivot = postings.groupBy("h").agg(F.min(F.struct("pos", "id", "n", "hist")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "p.*")
-    star = postings.alias("x").join(pivot.alias("y"), F.col("x.h") == F.col("y.h")).where(F.col("x.id") != F.col("y.id")).where(_filters(num, den))
-    star = materialise(_ordered(star.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))), "star")
-    links = materialise(_verify(star, sets, num, den), "links")
-    comps = connected_components(links)
+    pivot = postings.groupBy("h").agg(F.min(F.struct("pos", "id", "n", "hist")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    star = lookup(postings, "h", pivot.select("h", *[F.col(f"p.{c}").alias(f"y_{c}") for c in ("pos", "id", "n", "hist")]))
+    star = materialise(_ordered(star.where((F.col("id") != F.col("y_id")) & _filters(num, den))), "star")
+    first = materialise(_verify(star, sets, num, den), "links")
+    comps = connected_components(first)
 
-    # Second round: pairs between nodes that are still apart; the smaller set is looked up by its shorter prefix.
+    # Second round: pairs between nodes that are still apart.
     held = postings.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     held = materialise(held, "held")
-    mixed = held.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("h")
-    open_ = held.join(mixed, "h")
-    short = F.col("pos") <= F.col("n") - _ceil(F.col("n"), 2 * num, num + den)
-    bigger = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") > F.col("y.id")))
-    rest = open_.alias("x").join(open_.where(short).alias("y"), (F.col("x.h") == F.col("y.h")) & bigger & (F.col("x.comp") != F.col("y.comp")) & _filters(num, den))
-    rest = _ordered(rest.select(F.col("x.id").alias("p"), F.col("y.id").alias("q"))).join(star, ["a", "b"], "left_anti")
-    more = materialise(_verify(rest, sets, num, den), "links")
-    links = links.unionByName(more)
-    comps = connected_components(links)
-
-    comps = comps.withColumnRenamed("node", "id")
+    discard(postings, comps)
+    more = materialise(_verify(_apart(held, num, den).join(star, ["a", "b"], "left_anti"), sets, num, den), "links")
+    discard(held, star)
+    comps = connected_components(first.unionByName(more)).withColumnRenamed("node", "id")
+    discard(first, more)
+
     degree = materialise(_link_counts(comps, sets, num, den), "degrees") if count_links else comps.select("id", F.lit(0).cast("long").alias("n_links"))
     named = comps.join(sets.select("id", "node"), "id").join(degree, "id").join(nodes.select("node", "class_id"), "node")
     lowest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    linked = named.join(lowest, "comp").select("node", "component_id", "class_id", "n_links")
+    linked = materialise(lookup(named, "comp", lowest).select("node", "component_id", "class_id", "n_links"), "linked")
+    discard(sets, comps, *[degree] * count_links)
     copies = nodes.where("copies > 1").select("node", F.col("class_id").alias("component_id"), "class_id", F.lit(0).cast("long").alias("n_links"))
-    known = linked.unionByName(copies.join(linked.select("node"), "node", "left_anti")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    out = rows.withColumn("part", F.pmod(F.xxhash64("ref"), F.lit(SPREAD)).cast("int")).join(known, ["node", "part"], "left")
+    known = linked.unionByName(copies.join(linked.select("node"), "node", "left_anti"))
+    out = lookup(rows.select("ref", "doc_id", "node", "n"), "node", known, "left")
     own = lambda c: F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "ref")
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "ref"), "near")
+    discard(rows, nodes, linked)
+    return out
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -357,8 +389,8 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     texts without words. Of rows that repeat an id and a text, one stays; rows that repeat an id with other texts stay
     or go together."""
     groups = near_groups(docs, words, num, den, id_col, text_col, count_links=False)
-    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("ref").alias("__ref")).distinct()
-    key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    tagged = docs.withColumn("__key", key).withColumn("__ref", F.coalesce(F.col(id_col).cast("long"), F.col("__key")))
-    nth = F.row_number().over(Window.partitionBy("__ref", "__key").orderBy(F.lit(1)))
-    return tagged.join(stay, "__ref", "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__key", "__ref")
+    key, ref = fresh(docs, "key", "ref")
+    stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("ref").alias(ref)).distinct()
+    tagged = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
+    tagged = tagged.withColumn(ref, F.coalesce(F.col(id_col).cast("long"), F.col(key)))
+    return tagged.join(stay, ref, "left_semi").dropDuplicates([ref, key]).select(*[F.col(f"`{c}`") for c in docs.columns])

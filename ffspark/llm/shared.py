@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,9 +18,12 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session on one machine
+    gets a folder of its own; a cluster has none to share, so that is an error there."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(where)
         spark.conf.set("spark.checkpoint.dir", where)
@@ -38,17 +43,53 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that ``materialise`` wrote and that nothing reads any more."""
-    spark, done = df.sparkSession, set()
-    for file in df.inputFiles():
-        folder = file.rpartition("/")[0]
-        if folder not in done:
-            done.add(folder)
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of tables that ``materialise`` wrote and that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
             path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def arrow_batches(spark: SparkSession, size: str) -> Iterator[None]:
+    """Jobs that run inside hand rows to Python in Arrow batches of about ``size``; whole texts fill large ones."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns, none of which ``df`` has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+#: Parts that the rows of one key are dealt to.
+PARTS = 64
+
+
+def lookup(rows: DataFrame, key: str, table: DataFrame, how: str = "inner", parts: int = PARTS) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``; ``how`` is inner or left.
+
+    A key may be that of a third of all rows, so they are dealt to ``parts`` by their other columns, and a key's table
+    row is copied to those parts only that need it."""
+    (part,) = fresh(rows, "part")
+    dealt = rows.withColumn(part, F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(parts)).cast("int"))
+    copies = dealt.select(key, part).distinct().join(table, key)
+    return dealt.join(copies, [key, part], how).drop(part)
+
+
 def fold_ascii(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII texts take Spark's byte-wise ``lower``; in others ``translate`` leaves
     accented letters alone."""
