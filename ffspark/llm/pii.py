@@ -1,12 +1,14 @@
 """Personal data by bootstrapped contextual extraction, in built-in functions only.
 
 1. Seeds: e-mail, IP, card and phone patterns with their checks (the base spans).
-2. Candidates: every word with a digit or an at sign, with the words before it: its lexical pattern.
-3. The patterns and the candidates' values form a bipartite graph. Seeds have confidence 1; in each round a pattern's
-   score is the mean confidence of its instances, shrunk by its support, and a value's confidence the best score of
-   its patterns. Patterns and values are grouped with partial aggregation; no pair of instances is ever made.
-4. Candidates outside the base spans, in a pattern that scores at least ``accept``, are added with the kind that the
-   pattern's seeds have.
+2. Candidates: every word with a digit or an at sign. Each has three lexical patterns: the two words before it; its shape
+   between the words before and after it; its shape before the next two words.
+3. The patterns and the candidates' values form a bipartite graph. Seeds have confidence 1 in their kind; in each round a
+   pattern's score is the confidence in its best kind over all of its instances, shrunk by its support, and a value's
+   confidence the best score of its patterns. So a pattern that precedes all kinds alike, or look-alikes that fail the
+   checks, scores low. Equal edges are merged first, and what many instances look up is spread over parts; no pair of
+   instances is ever made.
+4. Candidates outside the base spans, with a pattern that scores at least ``accept``, are added with its kind.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ffspark.llm.shared import materialise
+from ffspark.llm.shared import discard, lookup, materialise
 from ffspark.llm.spans import count_kind, listing, marked, matches, unmarked
 
 KINDS = ("email", "ip", "card", "phone")
@@ -28,10 +30,10 @@ PATTERNS = {
 #: A word that may be an identifier: no white space, at least one digit or at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 ROUNDS, ACCEPT, SUPPORT = 3, 0.8, 5
-#: No identifier is longer than this.
-LONGEST = 256
-#: Characters of the text before a candidate that its pattern is read from.
-CONTEXT_CHARS = 64
+#: Characters on either side of a candidate that its patterns' words are read from.
+CONTEXT_CHARS = 256
+#: Values longer than this stand in the graph by their digest.
+LONGEST = 64
 
 SPAN = "array<struct<rank:int,start:long,kind:string,end:long>>"
 
@@ -68,17 +70,33 @@ def seeds(text: Column) -> Column:
     return F.concat(*[of(rank, kind).cast(SPAN) for rank, kind in enumerate(KINDS)])
 
 
-def lexical_pattern(before: Column) -> Column:
-    """The last two words before a candidate, letters only and in lower case; digits become 0."""
-    words = F.filter(F.split(F.regexp_replace(F.lower(before), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    return F.array_join(F.when(F.size(words) > 2, F.slice(words, -2, 2)).otherwise(words), " ")
+def _words(text: Column) -> Column:
+    """Words in lower case, digits as 0."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+
+
+def shape(value: Column) -> Column:
+    """Letters as one a, digits as 0 each; of a long value the digest."""
+    drawn = F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "0")
+    return F.when(F.char_length(drawn) > LONGEST, F.sha2(drawn, 256)).otherwise(drawn)
+
+
+def lexical_patterns(before: Column, value: Column, after: Column) -> Column:
+    """The three patterns of a candidate; ^ and $ stand for missing words."""
+    left = lambda n: F.array_join(F.slice(F.concat(F.array_repeat(F.lit("^"), n), _words(before)), -n, n), " ")
+    right = lambda n: F.array_join(F.slice(F.concat(_words(after), F.array_repeat(F.lit("$"), n)), 1, n), " ")
+    return F.array(F.concat(left(2), F.lit(" _")), F.concat_ws(" ", left(1), shape(value), right(1)), F.concat_ws(" ", F.lit("_"), shape(value), right(2)))
 
 
 def _candidates(text: Column) -> Column:
-    found = matches(marked(text, CANDIDATE), CONTEXT_CHARS)
     return F.transform(
-        F.filter(found, lambda m: m["end"] - m["start"] <= LONGEST),
-        lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), lexical_pattern(m["before"]).alias("pattern")),
+        matches(marked(text, CANDIDATE), CONTEXT_CHARS),
+        lambda m: F.struct(
+            m["start"].alias("start"),
+            m["end"].alias("end"),
+            F.when(F.char_length(m["value"]) > LONGEST, F.sha2(m["value"], 256)).otherwise(m["value"]).alias("value"),
+            lexical_patterns(m["before"], m["value"], m["after"]).alias("patterns"),
+        ),
     )
 
 
@@ -92,40 +110,46 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
     """pattern, kind, score from ``edges`` (pattern, value, kind; kind is null unless the value is a seed there).
 
-    Equal edges are merged first, so one value or pattern that fills the corpus counts once per partner.
+    Equal edges are merged first, so one value or pattern that fills the corpus counts once per partner. A pattern of
+    fewer than ``support`` values scores 0; of kinds that are equally likely the first listed one is taken.
     """
-    distinct = materialise(edges.groupBy("pattern", "value").agg(F.max("kind").alias("kind")), "edges")
-    confident = distinct.groupBy("value").agg(F.max(F.col("kind").isNotNull().cast("double")).alias("c"))
-    kinds = distinct.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count(F.lit(1)).alias("n"))
-    best = kinds.groupBy("pattern").agg(F.max(F.struct("n", "kind")).alias("best")).select("pattern", "best.kind")
+    distinct = materialise(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
+    graph = distinct.select("pattern", "value")
+    seeds_ = materialise(distinct.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("c", F.lit(1.0)), "seeds")
+    confident = seeds_
     for k in range(rounds):
-        scored = distinct.join(confident, "value").groupBy("pattern").agg(
-            (F.sum("c") / (F.count(F.lit(1)) + F.lit(1.0 / support)) * F.when(F.count(F.lit(1)) >= support, 1.0).otherwise(0.0)).alias("score")
-        )
-        scored = materialise(scored, f"patterns{k}")
-        raised = distinct.join(scored, "pattern").groupBy("value").agg(
-            F.greatest(F.max(F.col("kind").isNotNull().cast("double")), F.max("score")).alias("c")
-        )
-        confident = materialise(raised, f"values{k}") if k < rounds - 1 else None
-    return scored.join(best, "pattern")
+        of = [F.sum(F.when(F.col("kind") == kind, F.col("c")).otherwise(0.0)).alias(kind) for kind in KINDS]
+        sums = lookup(graph, "value", confident, "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *of).withColumn("best", F.greatest(*KINDS))
+        kind_of = F.coalesce(*[F.when(F.col(kind) == F.col("best"), F.lit(kind)) for kind in KINDS])
+        scored = materialise(sums.where((F.col("n") >= support) & (F.col("best") > 0)).select("pattern", kind_of.alias("kind"), (F.col("best") / (F.col("n") + F.lit(1.0 / support))).alias("score")), f"patterns{k}")
+        if k < rounds - 1:
+            raised = lookup(graph, "pattern", scored).select("value", F.struct(F.col("score").alias("c"), "kind").alias("s"))
+            raised = raised.unionByName(seeds_.select("value", F.struct("c", "kind").alias("s"))).groupBy("value").agg(F.max("s").alias("s"))
+            confident = materialise(raised.select("value", "s.kind", "s.c"), f"values{k}")
+    discard(distinct, seeds_)
+    return scored
 
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found.
+    """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans.
 
-    The counts and the digest cover the base spans; ``spans`` has those and the discovered ones, by kind, then start.
-    A null text counts as empty and has no spans. Ids may be null or repeated. An empty table gives an empty result.
+    The counts and the digest cover the base spans; ``spans`` has those and the ``n_found`` discovered ones, by kind, then
+    start, ``n_spans`` in all. A null text counts as empty and has no spans. Ids may be null or repeated. An empty table
+    gives an empty result. Other columns are ignored, whatever their names.
     """
     found = materialise(extract(docs, id_col, text_col), "pii")
     covers = lambda c: F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     kind_of = lambda c: F.element_at(F.concat(F.transform(F.filter("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), lambda s: s["kind"]), F.array(F.lit(None).cast("string"))), 1)
-    edges = found.select(F.explode(F.transform("candidates", lambda c: F.struct(c["pattern"].alias("pattern"), c["value"].alias("value"), kind_of(c).alias("kind")))).alias("e")).select("e.*")
-    good = score_patterns(edges.where("pattern <> ''"), rounds, support).where(F.col("score") >= accept).select("pattern", F.col("kind").alias("kind"))
-    open_ = found.select("row_key", F.explode(F.filter("candidates", lambda c: ~covers(c))).alias("c"))
+    edges = found.select(F.explode(F.transform("candidates", lambda c: F.struct(c["patterns"].alias("patterns"), c["value"].alias("value"), kind_of(c).alias("kind")))).alias("e"))
+    edges = edges.select(F.explode("e.patterns").alias("pattern"), "e.value", "e.kind")
+    good = score_patterns(edges, rounds, support).where(F.col("score") >= accept)
+    open_ = found.select("row_key", F.explode(F.filter("candidates", lambda c: ~covers(c))).alias("c")).select("row_key", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
+    named = lookup(open_, "pattern", good).groupBy("row_key", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
-    new = open_.select("row_key", "c.*").join(good, "pattern").select("row_key", F.struct(rank[F.col("kind")].alias("rank"), "start", "kind", "end").alias("s"))
+    new = named.select("row_key", F.struct(rank[F.col("best.kind")].alias("rank"), "start", F.col("best.kind").alias("kind"), "end").alias("s"))
     new = new.groupBy("row_key").agg(F.array_sort(F.collect_list("s")).alias("new"))
     out = found.drop("candidates").join(new, "row_key", "left")
     n = [count_kind("base", k) for k in KINDS]
     both = F.array_sort(F.concat("base", F.coalesce(F.col("new").cast(SPAN), F.array().cast(SPAN))))
-    return out.select("doc_id", *n, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(both).alias("spans"), F.coalesce(F.size("new"), F.lit(0)).cast("long").alias("n_found"))
+    n_found = F.coalesce(F.size("new"), F.lit(0)).cast("long")
+    return out.select("doc_id", *n, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(both).alias("spans"), n_found.alias("n_found"), (F.size("base") + n_found).alias("n_spans"))

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 MARK, INNER, OTHER = "\ue000", "\ue001", "\ue002"
 
 #: A match: code points [start, end), its text, the text of the second group where the pattern marks one, and the
-#: characters before it where they are asked for.
-MATCH = "array<struct<start:long,end:long,value:string,tail:string,before:string>>"
+#: characters before and after it where they are asked for.
+MATCH = "array<struct<start:long,end:long,value:string,tail:string,before:string,after:string>>"
 #: Running sums are made in blocks of this size, because an aggregate copies its state at every step.
 BLOCK = 256
 
@@ -61,17 +61,21 @@ def running_starts(lengths: Column) -> Column:
 
 
 def matches(marked_text: Column, context: int = 0) -> Column:
-    """All matches of a marked text, in order. With ``context``, ``before`` holds up to so many characters of the two
-    gaps and two matches before a match."""
+    """All matches of a marked text, in order. With ``context``, ``before`` and ``after`` hold up to so many characters of
+    the two gaps and two matches on either side of a match."""
 
     def body(p: Column) -> Column:
         starts = running_starts(F.transform(p, lambda v: F.char_length(F.replace(v, F.lit(INNER), F.lit(""))).cast("long")))
-        items = F.zip_with(p, starts, lambda v, at: F.struct(v.alias("v"), at.alias("at"), F.lit("").alias("before")))
+        items = F.zip_with(p, starts, lambda v, at: F.struct(v.alias("v"), at.alias("at"), F.lit("").alias("before"), F.lit("").alias("after")))
         if context:
             shift = lambda k: F.slice(F.concat(F.array_repeat(F.lit(""), k), p), 1, F.size(p))
             join = lambda x, y: F.right(F.concat(F.right(x, F.lit(context)), F.right(y, F.lit(context))), F.lit(context))
             before = F.zip_with(F.zip_with(shift(4), shift(3), join), F.zip_with(shift(2), shift(1), join), join)
-            items = F.zip_with(items, before, lambda x, b: F.struct(x["v"].alias("v"), x["at"].alias("at"), b.alias("before")))
+            ahead = lambda k: F.concat(F.slice(p, k + 1, F.size(p)), F.array_repeat(F.lit(""), k))
+            first = lambda x, y: F.left(F.concat(F.left(x, F.lit(context)), F.left(y, F.lit(context))), F.lit(context))
+            after = F.zip_with(F.zip_with(ahead(1), ahead(2), first), F.zip_with(ahead(3), ahead(4), first), first)
+            sides = F.zip_with(before, after, lambda b, a: F.struct(b.alias("b"), a.alias("a")))
+            items = F.zip_with(items, sides, lambda x, s: F.struct(x["v"].alias("v"), x["at"].alias("at"), s["b"].alias("before"), s["a"].alias("after")))
         return F.transform(
             F.filter(items, lambda x, k: k % 2 == 1),
             lambda x: let(
@@ -82,6 +86,7 @@ def matches(marked_text: Column, context: int = 0) -> Column:
                     value.alias("value"),
                     F.when(F.contains(x["v"], F.lit(INNER)), F.substring_index(x["v"], INNER, -1)).alias("tail"),
                     x["before"].alias("before"),
+                    x["after"].alias("after"),
                 ),
             ),
         )
