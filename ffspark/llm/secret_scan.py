@@ -1,18 +1,20 @@
 """Secret scanning with an incremental blob ledger.
 
 Every version of every path is content-addressed. The ledger names the (blob, rule, rule version) triples that were
-scanned before, with what was found; a run scans only blobs with an unseen triple, each once however many paths hold
-it, adds them to the ledger and joins the findings back to all paths. Built-in functions only.
+scanned before, with what was found. A run finds the blobs with unseen triples by digests alone, reads one text of each,
+applies just the rules that the blob lacks, adds the results to the ledger and joins the findings back to all paths.
+Built-in functions only.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ffspark.llm.shared import materialise
+from ffspark.llm.shared import discard, lookup, materialise, scratch_path
 from ffspark.llm.spans import count_kind, listing, marked, matches, unmarked
 
 
@@ -35,8 +37,6 @@ RULES = (
 )
 
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:long,end:long>>"
-#: Findings of one blob are copied so often before they meet the blob's paths: a blob may be a third of all versions.
-SPREAD = 16
 
 
 def scan_rule(text: Column, rule: SecretRule) -> Column:
@@ -45,48 +45,86 @@ def scan_rule(text: Column, rule: SecretRule) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"], m["end"]))
 
 
+def name_of(rule: SecretRule) -> str:
+    return f"{rule.kind}:{rule.version}"
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
-    """Ledger rows of ``blobs`` (blob, text): one per blob and rule, with an empty array where nothing was found."""
-    scanned = blobs.select("blob", unmarked(F.col("text")).alias("text")).select(
-        "blob", F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), scan_rule(F.col("text"), r).alias("spans")) for r in rules]).alias("found")
-    )
+    """Ledger rows of ``blobs`` (blob, text, missing): one per blob and rule named in ``missing``, with an empty array where
+    nothing was found. Other rules aren't applied. A blob that is there twice counts once."""
+    scanned = blobs.select("blob", "missing", unmarked(F.col("text")).alias("text"))
+    one = lambda r: F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version"), scan_rule(F.col("text"), r).alias("spans"))
+    found = F.array(*[F.when(F.array_contains("missing", name_of(r)), one(r)) for r in rules])
+    scanned = scanned.select("blob", F.filter(found, lambda x: x.isNotNull()).alias("found")).dropDuplicates(["blob"])
     return scanned.select("blob", F.inline("found"))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text", result_cols: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, added): ``findings`` has one row per row of ``versions`` with path, blob and ``found``, an array of
     (start, rank, kind, end) in order of start and rule; ``added`` are the new ledger rows, already written to shared
     storage, to be appended to ``ledger``.
 
     A null text is the empty blob. Paths may be null or repeat (one row per version). Empty tables give empty results.
+    Other columns are ignored, whatever their names. Where few blobs are new, Spark sends their digests to the texts; else
+    each text moves once, whatever the number of its copies.
     """
-    addressed = versions.select(F.col(path_col).alias("path"), *result_cols, F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
-    wanted = addressed.select("blob", "text").distinct()  # equal digests with unequal texts would both be scanned
+    addressed = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+    addressed = addressed.withColumn("owner", F.xxhash64(F.coalesce(F.col("path").cast("string"), F.col("blob"))))
+    paths = materialise(addressed.drop("text"), "versions")
+    todo = paths.groupBy("blob").agg(F.min("owner").alias("owner"))
+    missing = F.array(*[F.lit(name_of(r)) for r in rules])
     if ledger is not None:
-        wanted_rules = F.array(*[F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("rule_version")) for r in rules])
-        done = ledger.groupBy("blob").agg(F.collect_set(F.struct("rule", "rule_version")).alias("seen"))
-        left = wanted.join(done, "blob", "left")
-        todo = left.where(F.col("seen").isNull() | (F.size(F.array_except(wanted_rules, "seen")) > 0))
-        fresh = scan_blobs(todo.select("blob", "text"), rules).join(ledger.select("blob", "rule", "rule_version"), ["blob", "rule", "rule_version"], "left_anti")
-    else:
-        fresh = scan_blobs(wanted, rules)
-    added = materialise(fresh.select("blob", "rule", F.col("rule_version").cast("int").alias("rule_version"), "spans"), "ledger")
+        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "rule_version")).alias("seen"))
+        todo = todo.join(seen, "blob", "left")
+        missing = F.array_except(missing, F.coalesce("seen", F.array().cast("array<string>")))
+    todo = materialise(todo.select("blob", "owner", missing.alias("missing")).where(F.size("missing") > 0), "unseen")
+    added = materialise(scan_blobs(addressed.select("blob", "owner", "text").join(todo, ["blob", "owner"]), rules), "found")
+    discard(todo)
     known = added if ledger is None else added.unionByName(ledger.select("blob", "rule", "rule_version", "spans"))
-    rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(f"{r.kind}:{r.version}"), F.lit(k))])
+    rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(name_of(r)), F.lit(k))])
     hits = known.where(F.size("spans") > 0).withColumn("rank", rank[F.concat_ws(":", "rule", "rule_version")]).where("rank IS NOT NULL")
     spans = hits.select("blob", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("rule").alias("kind"), s["end"].alias("end")))).alias("s"))
     per_blob = spans.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("found"))
-    spread = per_blob.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    paths = addressed.drop("text").withColumn("part", F.pmod(F.xxhash64("path"), F.lit(SPREAD)).cast("int"))
-    findings = paths.join(spread, ["blob", "part"], "left").drop("part")
-    return findings.withColumn("found", F.coalesce("found", F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>"))), added
+    findings = lookup(paths, "blob", per_blob, "left").select("path", "blob", F.coalesce("found", F.array().cast("array<struct<start:long,rank:int,kind:string,end:long>>")).alias("found"))
+    return findings, added
+
+
+class BlobLedger:
+    """A ledger kept as Parquet at ``path``; every scan reads it and appends what is new."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
 
+    def read(self) -> DataFrame | None:
+        try:
+            return self.spark.read.schema(LEDGER).parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
 
-def secret_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
-    """The digest columns of a first scan with an empty ledger: doc_id, n_<kind>..., base_sha256, spans. The rules
-    beyond the base ones would add to ``spans`` only; by default there are none."""
-    findings, _ = scan_versions(docs.select(F.col(id_col).alias("path"), F.col(text_col).alias("text")), None, rules)
+    def scan(self, versions: DataFrame, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> DataFrame:
+        """The findings of ``scan_versions``. What it adds is in the ledger when this returns."""
+        findings, added = scan_versions(versions, self.read(), rules, path_col, text_col)
+        added.write.mode("append").parquet(self.path)
+        return findings
+
+
+def secret_findings(docs: DataFrame, ledger: BlobLedger, id_col: str = "doc_id", text_col: str = "text", rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
+    """The digest columns of a scan with ``ledger``: doc_id, n_<kind>..., base_sha256, spans. The rules beyond the base ones
+    would add to ``spans`` only; by default there are none. Nulls, repeated rows, ids, empty tables and other columns are
+    treated as in ``scan_versions``."""
+    findings = ledger.scan(docs, rules, id_col, text_col)
     base = {r.kind for r in RULES}
     counts = [count_kind("found", r.kind) for r in RULES]
     own = F.filter("found", lambda s: s["kind"].isin(*base))
     return findings.select(F.col("path").alias("doc_id"), *counts, F.sha2(listing(own), 256).alias("base_sha256"), listing(F.col("found")).alias("spans"))
+
+
+def two_pushes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``secret_findings`` of all ``docs``, when about half of the rows (by a hash of the id) were pushed and scanned before:
+    the scan of the whole table then reads only contents that the first push had not."""
+    spark = docs.sparkSession
+    ledger = BlobLedger(spark, scratch_path(spark, "ledger"))
+    ledger.scan(docs.where(F.pmod(F.xxhash64(id_col), F.lit(2)) == 0), path_col=id_col, text_col=text_col)
+    return secret_findings(docs, ledger, id_col, text_col)
