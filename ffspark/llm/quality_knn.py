@@ -3,7 +3,8 @@
 A text becomes counts of hashed byte trigrams and of a few character and repetition measures. A truncated singular
 value decomposition of a bounded sample of labelled texts gives the latent space. The labelled vectors (at most
 ``max_labelled`` x ``dims`` floats, so a few hundred kilobytes) are broadcast; every document's cosines with all of
-them are exact, computed in blocks of documents, and its nearest labelled texts vote with their similarity as weight.
+them are exact, computed in blocks of documents, and its nearest labelled texts vote with their similarity, raised to
+``SHARPNESS``, as weight. Of equally near texts those earlier in the sample's order (by a hash of the id) vote.
 """
 
 from __future__ import annotations
@@ -14,10 +15,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS, DIMS, NEIGHBOURS, MAX_LABELLED, BLOCK = 1024, 32, 15, 3000, 512
+#: Cosines of texts in one language lie close together; this power of a cosine is a vote's weight.
+SHARPNESS = 8
+#: Most bytes of labelled texts that come to the driver.
+MAX_LABELLED_BYTES = 64 << 20
 #: Weight of the measured features against the unit vector of the trigram counts.
 MEASURE_WEIGHT = 1.0
 
@@ -89,37 +94,44 @@ def vote(model: Model, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.n
         block = full[at : at + BLOCK]
         cosines = project(features([texts[k] for k in block]), model.idf, model.axes) @ model.vectors.T
         best = np.argpartition(-cosines, near - 1, axis=1)[:, :near]
-        close = np.maximum(np.take_along_axis(cosines, best, axis=1), 0).astype(np.float64)
-        weight = close**8  # cosines of texts in one language lie close together
+        last = np.take_along_axis(cosines, best, axis=1).min(axis=1, keepdims=True)
+        for k in np.flatnonzero((cosines >= last).sum(axis=1) > near):  # a tie for the last vote
+            best[k] = np.argsort(-cosines[k], kind="stable")[:near]
+        weight = np.maximum(np.take_along_axis(cosines, best, axis=1), 0).astype(np.float64) ** SHARPNESS
         total = weight.sum(axis=1)
-        scores[block] = np.where(total > 0, (weight * model.labels[best]).sum(axis=1) / np.maximum(total, 1e-12), model.prior)
+        scores[block] = np.where(total > 0, (weight * model.labels[best]).sum(axis=1) / np.maximum(total, 1e-300), model.prior)
     return np.clip(scores, 0, 1)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, held_out: bool = True) -> Model:
-    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the id over all labelled ones.
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES, held_out: bool = True) -> Model:
+    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the id over all labelled ones; from the
+    first one on that would make more than ``max_bytes`` of text together, they are left out.
 
     With ``held_out``, ids whose crc32 (of the decimal id) leaves 1 modulo 3 are never learned from. Null labels and
-    ids without a document are left out; of an id labelled twice the smallest label counts. Without any labelled
-    document the model has no neighbours and every score is 0.5.
+    ids without a document are left out; of an id labelled twice the smallest label counts, of an id with several texts
+    the smallest text. Without any labelled document the model has no neighbours and every score is 0.5.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     if held_out:
         rows = rows.where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     rows = rows.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(rows), "id").orderBy("id", "text").toPandas()
+    chosen = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # max_labelled rows at most
+    chosen = chosen.withColumn("size", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))).where(F.col("size") <= max_bytes)
+    sample = chosen.orderBy(F.xxhash64("id"), "id").toPandas()
     if not len(sample):
         return Model(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS + KINDS + 3, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     return fit([t.encode() for t in sample["text"]], sample["label"].to_numpy())
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """All columns of ``docs`` and score, predicted, computed from the text alone."""
+def score_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """All columns of ``docs`` and score, predicted, computed from the text alone. A column of ``docs`` that has one of
+    these names is an error."""
+    names = docs.columns
+    if clash := {"score", "predicted"} & {c.lower() for c in names}:
+        raise ValueError(f"rename {sorted(clash)} first: the scores take that name")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    kept = docs.select(*[F.col(f"`{c}`") for c in names])
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema), "score double", "predicted int"])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double", "predicted int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -131,14 +143,22 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
                 more = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*names, "score", "predicted"])
 
-    return kept.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that score at least ``threshold``, all columns unchanged."""
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    scored = score_documents(plain, model, text_col=f"c{docs.columns.index(text_col)}", threshold=threshold).where("predicted = 1")
+    return scored.select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     A null text counts as empty; null and empty texts get the sample's share of label 1. Ids may be null (then
-    held_out is null) or repeated. An empty table gives an empty result. Other columns are ignored.
+    held_out is null) or repeated; equal texts get equal scores. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
     model = train(docs, labels, id_col, text_col, max_labelled=max_labelled)
     scored = score_documents(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), model)
