@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ffspark.llm.shared import fold_ascii
+from ffspark.llm.shared import fold_ascii, fresh, materialise
 
 SALTS = 64
 
@@ -26,7 +26,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal if identical after lower-casing A-Z; null counts as the empty text, so null and empty texts form
     one group. The row with the largest id stays. Ids are expected to be unique; where an id is repeated with the
     same text, its rows are counted in ``group_size`` and exactly one of them can be kept. A null id loses against
-    any other and stays only in a group of null ids. An empty table gives an empty result. Other columns are ignored.
+    any other and stays only in a group of null ids; rows without id share one salt. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).select(
         "doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
@@ -36,12 +37,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     combined = salted.repartition("sha").select(
         "sha", "norm", "salt", F.max("top").over(text).alias("keep_id"), F.sum("n").over(text).alias("group_size")
     )
-    combined = combined.withColumn("clash", F.min("norm").over(digest) != F.max("norm").over(digest))
-    winners = combined.where(~F.col("clash")).drop("norm", "clash")
-    joined = rows.drop("norm").join(winners, ["sha", "salt"])
-    # Different texts with one SHA-256 digest: none is known, so this side is empty and Spark skips the second scan.
-    clashing = F.broadcast(combined.where("clash").drop("clash"))
-    joined = joined.unionByName(rows.join(clashing, ["sha", "norm", "salt"]).drop("norm"))
+    clash = F.min("norm").over(digest) != F.max("norm").over(digest)
+    winners = materialise(combined.withColumn("clash", clash).withColumn("norm", F.when(F.col("clash"), F.col("norm"))), "winners")
+    joined = rows.drop("norm").join(winners.where(~F.col("clash")).drop("norm", "clash"), ["sha", "salt"])
+    clashing = winners.where("clash").drop("clash")
+    if not clashing.isEmpty():  # different texts with one SHA-256 digest; none is known
+        joined = joined.unionByName(rows.join(clashing, ["sha", "norm", "salt"]).drop("norm"))
     once = Window.partitionBy("sha", "salt", "doc_id").orderBy("keep_id")
     return joined.withColumn("nth", F.row_number().over(once)).select(
         "doc_id",
@@ -61,11 +62,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def keep_rows(docs: DataFrame, kept: DataFrame, doc_id: Column, text: Column) -> DataFrame:
     """Rows of ``docs`` whose id and text ``kept`` names, each pair once. Both steps use one partitioning, so the texts
     are shuffled once."""
+    key, sha = fresh(docs, "key", "sha")
     name = lambda c: F.coalesce(F.concat(F.lit("i"), c.cast("string")), F.lit("n"))
-    right = kept.select(name(F.col("doc_id")).alias("__id"), F.col("text_sha256").alias("__sha"))
-    tagged = docs.withColumn("__id", name(doc_id)).withColumn("__sha", F.sha2(fold_ascii(F.coalesce(text, F.lit(""))), 256))
-    nth = F.row_number().over(Window.partitionBy("__id", "__sha").orderBy(F.lit(1)))
-    return tagged.join(right, ["__id", "__sha"], "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__id", "__sha", "__nth")
+    right = kept.select(name(F.col("doc_id")).alias(key), F.col("text_sha256").alias(sha))
+    tagged = docs.withColumn(key, name(doc_id)).withColumn(sha, F.sha2(fold_ascii(F.coalesce(text, F.lit(""))), 256))
+    return tagged.join(right, [key, sha], "left_semi").dropDuplicates([key, sha]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = """
