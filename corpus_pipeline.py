@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the llm operators, from raw documents to packed sequences."""
+"""A corpus pipeline of five of the llm operators, from raw documents to packed sequences.
+
+Each stage takes documents with at least doc_id, text, lang and source, and all but the last give back rows of them with
+all their columns, extra ones included, whatever their names. Nulls in any column, empty and very long texts, repeated
+rows and empty tables are allowed; the stages say what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +13,35 @@ from ffspark.llm import exact_dedup, mixing, ngram_join, packing, quality_knn
 from ffspark.llm.queries import table, tokenizer_path
 from ffspark.llm.shared import scratch_path
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts. It learns from the labelled documents of the whole table."""
+    """Documents that the quality classifier accepts. It learns from the labelled documents of the whole table. Null and
+    empty texts get the sample's share of good labels as score; without labels all documents stay."""
     model = quality_knn.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_knn.score_documents(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+    return quality_knn.accepted(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the largest id."""
-    return exact_dedup.drop_exact_copies(docs.select(*COLUMNS))
+    """One document of each group of equal texts (A-Z lower-cased), the one with the largest id. Null and empty texts are
+    one group; a null id stays only where all ids of its group are null; of repeated rows one stays."""
+    return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the smallest id."""
-    return ngram_join.drop_near_copies(docs.select(*COLUMNS), words=5, num=80, den=100)
+    """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the smallest id. Texts
+    without words stay; a null id stays only where all ids of its group are null; of repeated rows one stays."""
+    return ngram_join.drop_near_copies(docs, words=5, num=80, den=100)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by probabilities calibrated to the target marginals."""
-    return mixing.sample(docs.select(*COLUMNS))
+    """Documents drawn by probabilities calibrated to the target marginals. Null sources and languages are values of their
+    own; texts without words stay; rows that repeat an id share one draw."""
+    return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of at most 2048 tokens."""
+    """Pieces of the documents, packed into sequences of at most 2048 tokens. Null and empty texts are one end id;
+    repeated rows and null ids are packed like others."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
