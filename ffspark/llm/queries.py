@@ -28,7 +28,7 @@ def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.secret_findings(table(spark, sf_dir, "documents"))
+    return secret_scan.two_pushes(table(spark, sf_dir, "documents"))
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"), bounded=False).withColumn("probability", F.round("probability", 6) + F.lit(0.0))
+    return mixing.mix(table(spark, sf_dir, "documents")).withColumn("probability", F.round("probability", 6) + F.lit(0.0))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
