@@ -10,14 +10,16 @@ BROADCAST_DRAWS = 1_000_000
 
 
 def make_draws(spark: SparkSession, n: int, batch_size: int, first_iter: int = 0, iterations: int = 1, seed: int = 0) -> DataFrame:
-    """iter, sample_idx, mult: ``batch_size`` draws per iteration from 0 .. n-1. A draw depends on the seed, the
-    iteration and its number only, not on partitioning."""
+    """iter, sample_idx, mult: ``batch_size`` draws per iteration from 0 .. n-1. A draw is the first 60 bits of an MD5 digest
+    of the seed and its number, modulo n, so it depends on those only and any engine can repeat it."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")).cast("binary"))
     slots = spark.range(first_iter * batch_size, (first_iter + iterations) * batch_size).select(
-        F.floor(F.col("id") / batch_size).cast("int").alias("iter"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(n)).alias("sample_idx")
+        F.floor(F.col("id") / batch_size).cast("int").alias("iter"), (F.conv(F.substring(digest, 1, 15), 16, 10).cast("long") % F.lit(n)).alias("sample_idx")
     )
     return slots.groupBy("iter", "sample_idx").agg(F.count(F.lit(1)).alias("mult"))
 
 
-def draw_rows(samples: DataFrame, draws: DataFrame, n_draws: int) -> DataFrame:
-    """The drawn samples with iter and mult. ``n_draws`` bounds the rows of ``draws``."""
+def draw_rows(samples: DataFrame, draws: DataFrame, n_draws: int | None = None) -> DataFrame:
+    """The drawn samples with iter and mult. ``n_draws`` bounds the rows of ``draws``; without it they are counted."""
+    n_draws = draws.count() if n_draws is None else n_draws
     return samples.join(F.broadcast(draws) if n_draws <= BROADCAST_DRAWS else draws, "sample_idx")

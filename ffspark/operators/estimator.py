@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 from ffspark.functions.params import Params, check_layers, random_params, to_frame, unflatten
 from ffspark.operators.draws import draw_rows, make_draws
 from ffspark.operators.forward import transform
-from ffspark.operators.gradient import mean_gradient, summed_gradient
+from ffspark.operators.gradient import is_wide, mean_gradient, summed_gradient
 from ffspark.operators.optim import Momentum, RMSprop
-from ffspark.sources.samples import sample_widths, validate_samples, with_dense_index
+from ffspark.sources.registry import ModelRegistry
+from ffspark.sources.samples import dense_index, sample_widths, validate_samples, with_row_place
 
 #: Both spellings of the three modes.
 MODES = {"batch": "batch", "Batch": "batch", "mini_b": "mini_b", "Mini Batch": "mini_b", "Mini batch": "mini_b", "stochastic": "stochastic", "Stochastic": "stochastic"}
@@ -43,7 +44,8 @@ class FeedForwardClassifier(Estimator):
     Training ends after ``fixed_iter`` iterations if that is not 0, otherwise once the cost is at most ``threshold`` or
     NaN, or ``time_limit`` seconds have passed; the update of that iteration still counts. One of the three must be
     given. ``draws`` (iter, sample_idx, mult) replaces the seeded draws; ``progress`` is called with the iteration, its
-    cost and the best cost so far. Further keywords are ignored.
+    cost and the best cost so far. With ``save_to`` the fitted parameters and the trace are saved there under
+    ``model_name``, ``overwrite`` as in ``ModelRegistry.save``. Further keywords are ignored.
     """
 
     def __init__(
@@ -64,6 +66,8 @@ class FeedForwardClassifier(Estimator):
         prefetch: int | None = None,
         progress: Callable[[int, float, float], None] | None = None,
         model_name: str = "model",
+        save_to: ModelRegistry | None = None,
+        overwrite: bool | int = True,
         **_: object,
     ):
         super().__init__()
@@ -86,7 +90,7 @@ class FeedForwardClassifier(Estimator):
         self.batch_size = 1 if self.mode == "stochastic" else batch_size
         self.eta, self.fixed_iter, self.seed, self.gamma, self.rate = eta, fixed_iter, seed, gamma, rate
         self.initial, self.carry_biases, self.draws, self.progress, self.model_name = initial, carry_biases, draws, progress, model_name
-        self.prefetch = prefetch
+        self.prefetch, self.save_to, self.overwrite = prefetch, save_to, overwrite
 
     def _resolve(self, df: DataFrame) -> list[int]:
         if None not in self.layers:
@@ -100,18 +104,20 @@ class FeedForwardClassifier(Estimator):
 
     def _fit(self, dataset: DataFrame) -> FeedForwardModel:
         layers = self._resolve(dataset)
-        keep = ["sample_idx"] if "sample_idx" in dataset.columns else []
-        data = dataset.select(*keep, "features", "labels").persist()
+        own = "sample_idx" in dataset.columns
+        chosen = dataset.select(*["sample_idx"] * own, "features", "labels")
+        held = (chosen if own or self.mode == "batch" else with_row_place(chosen, "place")).persist()
         try:
-            n = validate_samples(data, layers[0], layers[-1])
+            n = validate_samples(held, layers[0], layers[-1])
             params = self.initial.copy() if self.initial is not None else random_params(layers, self.seed, self.carry_biases)
             if params.layers != layers:
                 raise ValueError(f"initial parameters are for {params.layers}, not {layers}")
-            if self.mode != "batch" and not keep:
-                data = with_dense_index(data)
+            data = dense_index(held, "place") if "place" in held.columns else held
             trace = self._train(data, n, params, layers)
         finally:
-            dataset.select(*keep, "features", "labels").unpersist()
+            held.unpersist()
+        if self.save_to is not None:
+            self.save_to.save(self.model_name, params, self.overwrite, trace)
         return FeedForwardModel(params, trace, self.model_name)
 
     def _more(self, k: int, cost: float, began: float) -> bool:
@@ -121,14 +127,17 @@ class FeedForwardClassifier(Estimator):
 
     def _train(self, data: DataFrame, n: int, params: Params, layers: list[int]) -> list[tuple]:
         rule = RMSprop(layers, self.rate, self.gamma) if self.mode == "mini_b" else Momentum(layers, self.eta, self.gamma)
-        began, cost, k, best, trace = time.monotonic(), 999.0, 0, math.inf, []
         ahead = self.prefetch if self.prefetch is not None else (min(200, PREFETCH_TOTAL // self.batch_size) if self.batch_size <= PREFETCH_ROWS else 0)
+        if self.draws is not None and ahead and self.draws.limit(PREFETCH_TOTAL + 1).count() > PREFETCH_TOTAL:
+            ahead = 0
+        wide = is_wide(data)
+        began, cost, k, best, trace = time.monotonic(), 999.0, 0, math.inf, []
         while self._more(k, cost, began):
             if self.mode != "batch" and ahead:
                 steps = min(ahead, self.fixed_iter - k) if self.fixed_iter else ahead
                 found = self._prefetched(data, n, params, rule, layers, k, steps, began)
             else:
-                g = mean_gradient(data if self.mode == "batch" else self._drawn(data, n, k, 1), params)
+                g = mean_gradient(data if self.mode == "batch" else self._drawn(data, n, k, 1), params, wide)
                 found = [(g.cost, rule.step(params, g.grad))]
             for cost, l_rate in found:
                 best = min(best, cost)
@@ -140,14 +149,12 @@ class FeedForwardClassifier(Estimator):
 
     def _drawn(self, data: DataFrame, n: int, k: int, steps: int) -> DataFrame:
         if self.draws is not None:
-            draws = self.draws.where((F.col("iter") >= k) & (F.col("iter") < k + steps))
-        else:
-            draws = make_draws(data.sparkSession, n, self.batch_size, k, steps, self.seed)
-        return draw_rows(data, draws, self.batch_size * steps)
+            return draw_rows(data, self.draws.where((F.col("iter") >= k) & (F.col("iter") < k + steps)))
+        return draw_rows(data, make_draws(data.sparkSession, n, self.batch_size, k, steps, self.seed), self.batch_size * steps)
 
     def _prefetched(self, data: DataFrame, n: int, params: Params, rule: object, layers: list[int], k: int, steps: int, began: float) -> list[tuple[float, float]]:
         """Draw the rows of ``steps`` iterations in one job and run their recurrence, serial by nature, in one task:
-        at most steps x batch_size rows. Parameters and the rule's state go in and come back."""
+        at most steps x batch_size rows, or ``PREFETCH_TOTAL`` of given draws. Parameters and the rule's state go in and come back."""
         stop = None if self.fixed_iter else (self.threshold, self.time_limit - (time.monotonic() - began))
 
         def run(table: pa.Table) -> pa.Table:

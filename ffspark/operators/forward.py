@@ -30,6 +30,11 @@ class Shipped:
     def get(self) -> Params:
         return self.own if self.shared is None else self.shared.value
 
+    def close(self) -> None:
+        """No job will need them any more."""
+        if self.shared is not None:
+            self.shared.destroy()
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal widths and no nulls."""
@@ -50,11 +55,20 @@ def layer_values(params: Params, x: np.ndarray, upto: int | None = None) -> tupl
     return pre, act
 
 
-def _lists(a: np.ndarray) -> pa.Array:
+def lists(a: np.ndarray) -> pa.Array:
     offsets = np.arange(0, a.size + 1, max(1, a.shape[1]), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(a).ravel()))
 
 
+def _nested(layers: list[np.ndarray]) -> pa.Array:
+    """One list of lists for each row, of the row's values in each of ``layers``, by offsets alone."""
+    rows, ends = len(layers[0]), np.cumsum([0, *(a.shape[1] for a in layers)])
+    inner = (np.arange(rows)[:, None] * ends[-1] + ends[None, :-1]).ravel()
+    values = pa.array(np.hstack(layers).ravel())
+    lists = pa.ListArray.from_arrays(pa.array(np.append(inner, rows * ends[-1]), pa.int32()), values)
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * len(layers), pa.int32()), lists)
+
+
 def dense(df: DataFrame, weights: np.ndarray, biases: np.ndarray, column: str = "features", out: str = "z") -> DataFrame:
     """One dense layer without activation, as array expressions."""
     return df.withColumn(out, _dense(F.col(column), weights, biases))
@@ -99,9 +113,9 @@ def transform(df: DataFrame, params: Params, layers: str | int | None = None, en
                 continue
             pre, act = layer_values(p, matrix(batch.column(at)), upto)
             if layers == "all":
-                more = [pa.array([[m[r] for m in ms] for r in range(batch.num_rows)], pa.list_(pa.list_(pa.float64()))) for ms in (pre, act)]
+                more = [_nested(pre), _nested(act)]
             else:
-                more = [_lists(act[-1])]
+                more = [lists(act[-1])]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*kept, *new])
 
     return source.mapInArrow(run, schema)

@@ -12,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ffspark.functions.params import Params, unflatten
-from ffspark.operators.forward import Shipped, layer_values, matrix
+from ffspark.operators.forward import Shipped, layer_values, lists, matrix
 
 #: Beyond so many partitions partial rows are first summed in groups.
 DIRECT_PARTIALS, FAN_IN = 256, 32
+#: Size of the gradients of single samples that a task makes at once.
+SLICE_BYTES = 16 << 20
 
 
 class Gradient(NamedTuple):
@@ -44,9 +46,8 @@ def summed_gradient(params: Params, x: np.ndarray, y: np.ndarray, mult: np.ndarr
 PARTIAL = "part int, n long, cost double, grad array<double>"
 
 
-def partials(df: DataFrame, params: Params) -> DataFrame:
+def partials(df: DataFrame, shipped: Shipped) -> DataFrame:
     """One row per partition that has samples: its number, sample count, cost sum and flat gradient sum."""
-    shipped = Shipped(df.sparkSession, params)
     weighted = "mult" in df.columns
     source = df.select("features", "labels", *(["mult"] if weighted else []))
 
@@ -64,22 +65,29 @@ def partials(df: DataFrame, params: Params) -> DataFrame:
     return source.mapInArrow(run, PARTIAL)
 
 
+def is_wide(df: DataFrame) -> bool:
+    """More partitions with rows than whose partial sums the driver takes one by one."""
+    return df.select(F.spark_partition_id().alias("p")).distinct().count() > DIRECT_PARTIALS
+
+
 def _sum_group(table: pa.Table) -> pa.Table:
     table = table.sort_by("part")
     grad = np.sum(np.stack(table.column("grad").to_numpy()), axis=0)
     return pa.table({"part": table.column("part")[:1], "n": [sum(table.column("n").to_pylist())], "cost": [float(np.sum(table.column("cost").to_numpy()))], "grad": [grad]})
 
 
-def mean_gradient(df: DataFrame, params: Params) -> Gradient:
+def mean_gradient(df: DataFrame, params: Params, wide: bool = True) -> Gradient:
     """Mean gradient and cost over all samples of ``df``, weighted by ``mult`` if there is such a column.
 
     Only partial sums reach the driver, and they are added in partition order, so a fixed partitioning gives the same
-    floats again.
+    floats again. They are first summed in groups of partitions, unless ``is_wide`` has found that they are few.
     """
-    rows = partials(df, params)
-    if rows.rdd.getNumPartitions() > DIRECT_PARTIALS:
+    shipped = Shipped(df.sparkSession, params)
+    rows = partials(df, shipped)
+    if wide:
         rows = rows.groupBy(F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(_sum_group, PARTIAL)
     found = sorted(rows.collect(), key=lambda r: r.part)
+    shipped.close()
     if not found:
         raise ValueError("the sample set is empty")
     n = sum(r.n for r in found)
@@ -88,17 +96,18 @@ def mean_gradient(df: DataFrame, params: Params) -> Gradient:
 
 
 def sample_gradients(df: DataFrame, params: Params) -> DataFrame:
-    """sample_id, cost and the flat gradient of every sample by itself."""
+    """sample_id, cost and the flat gradient of every sample by itself, in batches of about ``SLICE_BYTES``."""
     shipped = Shipped(df.sparkSession, params)
+    rows = max(1, SLICE_BYTES // (8 * len(params.flat())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shipped.get()
-        for batch in batches:
-            if batch.num_rows:
+        for whole in batches:
+            for at in range(0, whole.num_rows, rows):
+                batch = whole.slice(at, rows)
                 inputs, deltas, cost = batch_deltas(p, matrix(batch.column(1)), matrix(batch.column(2)))
                 k = batch.num_rows
                 parts = [x for a, d in zip(inputs, deltas, strict=True) for x in ((a[:, :, None] * d[:, None, :]).reshape(k, -1), d)]
-                flat = np.hstack(parts)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cost), pa.array(list(flat), pa.list_(pa.float64()))], names=["sample_id", "cost", "grad"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cost), lists(np.hstack(parts))], names=["sample_id", "cost", "grad"])
 
     return df.select("sample_id", "features", "labels").mapInArrow(run, "sample_id long, cost double, grad array<double>")

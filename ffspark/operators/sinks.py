@@ -33,8 +33,9 @@ def next_run(spark: SparkSession, out: str, model: str) -> str:
 
 
 def write_classes(scored: DataFrame, path: str, n_classes: int) -> Classified:
-    """One partition directory per class that has rows, and a manifest of all classes. The path must be new."""
-    scored.write.mode("errorifexists").partitionBy("class").parquet(f"{path}/rows")
+    """One partition directory per class that has rows, and a manifest of all classes. The path must be new. Rows are
+    rebalanced by class first: few files for small classes, several for one that holds most rows."""
+    scored.hint("rebalance", "class").write.mode("errorifexists").partitionBy("class").parquet(f"{path}/rows")
     spark = scored.sparkSession
     back = spark.read.schema(scored.schema).parquet(f"{path}/rows").select(*scored.columns)
     class_counts(back, n_classes).coalesce(1).write.parquet(f"{path}/manifest")

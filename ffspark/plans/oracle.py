@@ -98,6 +98,11 @@ def drawn(n_sql: str, k: int, batch: int) -> str:
     return f"m_{k} AS MATERIALIZED (SELECT (7919 * {k} + 104729 * t.k + 13) % {n_sql} AS sid, count(*) AS m FROM range({batch}) t(k) GROUP BY 1)"
 
 
+def seeded(n_sql: str, k: int, batch: int, seed: int) -> str:
+    """sid, m: the draws that the library makes for a seed."""
+    return f"m_{k} AS MATERIALIZED (SELECT ('0x' || substr(md5('{seed}:' || t.k), 1, 15))::BIGINT % {n_sql} AS sid, count(*) AS m FROM range({k * batch}, {(k + 1) * batch}) t(k) GROUP BY 1)"
+
+
 def drawn_samples(k: int) -> str:
     return f"x_{k} AS MATERIALIZED (SELECT x.* FROM x SEMI JOIN m_{k} m ON x.sid = m.sid), y_{k} AS MATERIALIZED (SELECT y.* FROM y SEMI JOIN m_{k} m ON y.sid = m.sid)"
 

@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from ffspark.functions import activations as act
 from ffspark.functions.params import Params, fixed_params, init_sigmas, to_frame
+from ffspark.operators.draws import draw_rows
 from ffspark.operators.estimator import FeedForwardClassifier, best_cost
 from ffspark.operators.evaluate import class_counts, evaluation_cost
 from ffspark.operators.forward import dense, transform
 from ffspark.operators.gradient import mean_gradient, sample_gradients
-from ffspark.operators.sinks import classify
+from ffspark.operators.sinks import classify, classify_with
 from ffspark.plans import fixtures as fx
 from ffspark.plans import oracle as sql
 from ffspark.sources.registry import ModelRegistry, next_free_frame
@@ -65,9 +66,10 @@ def q_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Architecture with the ends left to the data, as smallest and largest widths found there."""
-    d = fx.embeddings(spark, sf_dir)
-    return d.agg(F.min(F.size("features")).alias("n_in"), F.max(F.size("features")).alias("n_in_max"), F.min(F.size("labels")).alias("n_out"), F.count(F.lit(1)).alias("n"))
+    """Inputs and outputs of each layer of a fitted network whose ends were left to the data."""
+    model = FeedForwardClassifier([None, 8, None], mode="batch", fixed_iter=1).fit(fx.embeddings(spark, sf_dir))
+    rows = model.param_frame(spark).where("kind = 'w'").groupBy("layer")
+    return rows.agg((F.max("i") + 1).alias("n_in"), (F.max("j") + 1).alias("n_out"))
 
 
 # functions and forward pass
@@ -144,7 +146,7 @@ def q_gradient_multihot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_gradient_minibatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = indexed(fx.embeddings(spark, sf_dir))
-    return param_rows(spark, mean_gradient(d.join(F.broadcast(draws(spark, d.count(), BATCH, 1)), "sample_idx"), fixed_params(EMB)).grad)
+    return param_rows(spark, mean_gradient(draw_rows(d, draws(spark, d.count(), BATCH, 1), BATCH), fixed_params(EMB)).grad)
 
 
 def q_gradient_one(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,8 +200,27 @@ def q_fit_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_fit_time_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = FeedForwardClassifier(EV, mode="Batch", time_limit=2.0, seed=1).fit(fx.events(spark, sf_dir))
-    return model.history(spark).select("iter", "cost", "best_cost")
+    """What holds for any number of iterations that the time allows: numbers without gaps, the first cost, the best cost so
+    far, and an end with the first iteration that passes the limit."""
+    limit = 2.0
+    h = FeedForwardClassifier(EV, mode="Batch", time_limit=limit, initial=fixed_params(EV)).fit(fx.events(spark, sf_dir)).history(spark)
+    h = h.withColumn("running", best_cost())
+    return h.agg(
+        (F.max("iter") + 1 == F.count_distinct("iter")).alias("numbered"),
+        (F.round(F.max(F.when(F.col("iter") == 0, F.col("cost"))), 6) + F.lit(0.0)).alias("first_cost"),
+        F.bool_and(F.col("running") == F.col("best_cost")).alias("best_holds"),
+        (F.max("elapsed_s") >= limit).alias("limit_reached"),
+        (F.count_if(F.col("elapsed_s") >= limit) == 1).alias("one_beyond"),
+    )
+
+
+SEED = 5
+
+
+def q_fit_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two iterations on seeded draws from rows that the library numbers itself, in the order of the table."""
+    d = fx.embeddings(spark, sf_dir).coalesce(1).sortWithinPartitions("sample_id").drop("sample_id")
+    return param_rows(spark, FeedForwardClassifier([None, 8, None], fixed_iter=2, batch_size=BATCH, seed=SEED, initial=fixed_params(EMB)).fit(d).network)
 
 
 def q_init_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -247,6 +268,16 @@ def q_next_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     return next_free_frame(names).select(F.col("k").cast("int").alias("k"))
 
 
+def q_classify_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trained and saved in one call, loaded by name, and used for two runs, each in a folder of its own."""
+    reg, out = ModelRegistry(spark, scratch_path(spark, "registry")), scratch_path(spark, "sorted")
+    _fit_drawn(spark, sf_dir, "mini_b", 2, save_to=reg, model_name="007")
+    d = fx.embeddings(spark, sf_dir).select("sample_id", "features")
+    runs = [classify_with(reg, d, "007", out) for _ in range(2)]
+    rows = [r.manifest.select(F.lit(r.path.rpartition("/")[2]).alias("run"), "class", "n") for r in runs]
+    return rows[0].unionByName(rows[1])
+
+
 # extensions
 
 
@@ -267,8 +298,8 @@ def q_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = [
     q_samples_long, q_validate, q_widths, q_relu_sigmoid, q_dense_layer, q_forward, q_forward_expr, q_forward_layers, q_forward_upto, q_sample_cost, q_eval_cost,
     q_classify, q_class_manifest, q_class_counts, q_gradient_batch, q_gradient_multihot, q_gradient_minibatch, q_gradient_one, q_fit_batch_3, q_fit_minibatch_2,
-    q_fit_stochastic_3, q_history, q_best_cost, q_fit_threshold, q_fit_time_limit, q_init_scale, q_registry_latest, q_registry_clear, q_params_roundtrip, q_next_name,
-    q_stream_scores, q_series,
+    q_fit_stochastic_3, q_history, q_best_cost, q_fit_threshold, q_fit_time_limit, q_fit_seeded, q_init_scale, q_registry_latest, q_registry_clear, q_params_roundtrip, q_next_name,
+    q_classify_saved, q_stream_scores, q_series,
 ]
 
 
@@ -283,10 +314,10 @@ def _batch_fit(iterations: int) -> list[str]:
     return parts
 
 
-def _drawn_fit(iterations: int, batch: int, rule: Callable) -> list[str]:
-    parts = sql.samples("embeddings") + sql.fixed_params(EMB)
+def _drawn_fit(iterations: int, batch: int, rule: Callable, seed: int | None = None) -> list[str]:
+    parts, n = sql.samples("embeddings") + sql.fixed_params(EMB), "(SELECT count(*) FROM embeddings)"
     for k in range(iterations):
-        parts += [sql.drawn("(SELECT count(*) FROM embeddings)", k, batch), sql.drawn_samples(k)]
+        parts += [sql.drawn(n, k, batch) if seed is None else sql.seeded(n, k, batch, seed), sql.drawn_samples(k)]
         parts += sql.gradient(EMB, str(k), f"x_{k}", f"y_{k}", f"m_{k}") + rule(EMB, k)
     return parts
 
@@ -308,7 +339,7 @@ def oracle_sql() -> dict[str, str]:
         "q_samples_long": sql.query(sql.samples("embeddings"), f"SELECT sid AS sample_id, i::INT AS i, {r6('v')} AS value, 'x' AS part FROM x UNION ALL SELECT sid, j::INT, {r6('v')}, 'y' FROM y"),
         "q_validate": """SELECT doc_id AS sample_id, CASE WHEN doc_id % 11 = 0 THEN 'features is null' WHEN doc_id % 7 = 0 THEN 'features has width 1, not 2' ELSE 'features has a null' END AS reason
             FROM documents SEMI JOIN labels USING (doc_id) WHERE doc_id % 11 = 0 OR doc_id % 7 = 0 OR doc_id % 5 = 0""",
-        "q_widths": "SELECT min(len(embedding))::INT AS n_in, max(len(embedding))::INT AS n_in_max, 10::INT AS n_out, count(*) AS n FROM embeddings",
+        "q_widths": "SELECT l::INT AS layer, CASE l WHEN 1 THEN n ELSE 8 END::INT AS n_in, CASE l WHEN 1 THEN 8 ELSE 10 END::INT AS n_out FROM (SELECT max(len(embedding)) AS n FROM embeddings), range(1, 3) t(l)",
         "q_relu_sigmoid": f"""SELECT event_id, {r6('CASE WHEN x < 0 THEN 0.0 ELSE x END')} AS relu, {r6('CASE WHEN x < 0 THEN 0.0 ELSE 1.0::DOUBLE END')} AS relu_d, {r6('1 / (1 + exp(-x))')} AS sigmoid,
             {r6('1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x)))')} AS sigmoid_d FROM (SELECT event_id, {shifted} AS x FROM events)""",
         "q_dense_layer": sql.query(emb, out("z1_0")),
@@ -331,6 +362,9 @@ def oracle_sql() -> dict[str, str]:
         "q_history": sql.query(_drawn_fit(2, BATCH, sql.rmsprop), " UNION ALL ".join(f"SELECT {k}::INT AS iter, {r6(f'(SELECT v FROM cost_{k})')} AS cost, {r6(f'(SELECT v FROM rate_{k})')} AS l_rate" for k in range(2))),
         "q_best_cost": sql.query(_batch_fit(3), f"SELECT iter, {r6('cost')} AS cost, {r6('min(cost) OVER (ORDER BY iter)')} AS best, {r6('rate')} AS l_rate FROM (" + " UNION ALL ".join(f"SELECT {k}::INT AS iter, (SELECT v FROM cost_{k}) AS cost, (SELECT v FROM rate_{k}) AS rate" for k in range(3)) + ")"),
         "q_fit_threshold": sql.query(_batch_fit(3), "SELECT count(*) AS iterations FROM (SELECT * FROM cost_0 UNION ALL SELECT * FROM cost_1 UNION ALL SELECT * FROM cost_2) c WHERE c.v >= (SELECT v FROM cost_2)"),
+        "q_fit_time_limit": sql.query(sql.samples("events") + sql.fixed_params(EV) + sql.gradient(EV), f"SELECT true AS numbered, (SELECT {r6('v')} FROM cost_0) AS first_cost, true AS best_holds, true AS limit_reached, true AS one_beyond"),
+        "q_fit_seeded": sql.query(_drawn_fit(2, BATCH, sql.rmsprop, SEED), sql.param_rows(EMB, 2)),
+        "q_classify_saved": sql.query(_drawn_fit(2, BATCH, sql.rmsprop) + sql.forward(EMB, "2"), f"SELECT 'sorted_by_007_' || k AS run, c.class, c.n FROM ({counts('a2_2', EMB[-1])}) c, range(2) t(k)"),
         "q_init_scale": "SELECT l::INT AS layer, round(CASE WHEN l < n[4] THEN 2 / sqrt(n[l] + n[l + 1]) ELSE sqrt(2 / (n[l] + n[l + 1])) END, 6) + 0.0 AS sigma FROM (SELECT [max(len(embedding))::DOUBLE, 8::DOUBLE, 12::DOUBLE, 10::DOUBLE] AS n FROM embeddings), range(1, 4) t(l)",
         "q_registry_latest": sql.query(_batch_fit(2), sql.param_rows(LI, 2)),
         "q_registry_clear": sql.query(_batch_fit(2), f"SELECT v::INT AS version, p.* FROM (SELECT unnest([10, 11]) AS v), ({sql.param_rows(LI, 2)}) p"),

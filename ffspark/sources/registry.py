@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,17 +78,17 @@ class ModelRegistry:
         return [sizes[0].a, *(r.b for r in sizes)]
 
     def clear(self, model: str, versions: list[int] | None = None) -> None:
-        """Remove the given versions, or all. The survivors are written to a new path that then takes the old one's
-        place; the path being read is never overwritten."""
-        gone = (F.col("model") == model) if versions is None else (F.col("model") == model) & F.col("version").isin([int(v) for v in versions])
-        for part, schema in (("params", PARAM_SCHEMA), ("history", HISTORY_SCHEMA)):
-            fs, old = _fs(self.spark, f"{self.path}/{part}")
-            if not fs.exists(old):
-                continue
-            new = f"{self.path}/{part}-{uuid.uuid4().hex}"
-            self._table(part, schema).where(~gone).write.partitionBy("model", "version").parquet(new)
-            fs.delete(old, True)
-            fs.rename(_fs(self.spark, new)[1], old)
+        """Remove the given versions, or all: each is a folder of its own, and no other one is touched."""
+        for part in ("params", "history"):
+            fs, root = _fs(self.spark, f"{self.path}/{part}")
+            found = fs.listStatus(root) if fs.exists(root) else []
+            for folder in [f.getPath() for f in found if unquote(f.getPath().getName()) == f"model={model}"]:
+                if versions is None:
+                    fs.delete(folder, True)
+                    continue
+                for v in versions:
+                    _, path = _fs(self.spark, f"{folder.toString()}/version={int(v)}")
+                    fs.delete(path, True)
 
     def export_text(self, model: str, version: int, path: str) -> None:
         """Parameters as CSV, one value per line in long form."""

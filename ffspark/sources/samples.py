@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,20 +76,42 @@ def validate_samples(df: DataFrame, n_in: int, n_out: int | None = None) -> int:
     return row["n"]
 
 
+def with_row_place(df: DataFrame, name: str) -> DataFrame:
+    """Rows with their partition's number in the upper bits and their place in it in the lower 33. Persist the result: the
+    places are those of the moment at which a partition is computed."""
+    return df.withColumn(name, F.monotonically_increasing_id())
+
+
+def dense_index(placed: DataFrame, place: str, name: str = "sample_idx") -> DataFrame:
+    """``placed`` (see ``with_row_place``) numbered from 0 without gaps, in order of partition and place, as column ``name``
+    instead of ``place``. One aggregate counts the rows of each partition; their first numbers, one row a partition, go
+    back to the tasks."""
+    part = F.shiftright(place, 33)
+    sizes = sorted(placed.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+    firsts, at = [], 0
+    for p, n in sizes:
+        firsts.append((p, at - (p << 33)))
+        at += n
+    table = placed.sparkSession.createDataFrame(firsts, "__part long, __first long")
+    numbered = placed.join(F.broadcast(table), part == F.col("__part"))
+    return numbered.withColumn(name, F.col(place) + F.col("__first")).drop(place, "__part", "__first")
+
+
 def with_dense_index(df: DataFrame, name: str = "sample_idx") -> DataFrame:
-    """Rows numbered from 0 without gaps. The input should be persisted or a stable scan: the numbering takes one job
-    for the partition sizes and one for the numbers, and both must see the same order."""
-    pairs = df.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    schema = df.schema.add(name, "long")
-    return df.sparkSession.createDataFrame(pairs, schema)
+    """Rows numbered from 0 without gaps. ``df`` should be persisted or a stable scan: its partitions are gone through
+    twice and both times must be the same."""
+    return dense_index(with_row_place(df, "__place"), "__place", name)
 
 
 def series_samples(events: DataFrame, key: str, time: str, first_day: str, days: int, features_from: Column | None = None) -> DataFrame:
     """One sample per key: a fixed-width series of daily counts (or sums of ``features_from``), zeros where no event
-    fell. Two aggregations, the first with partial sums, so a busy key is no hot spot."""
+    fell. Two aggregations, the first with partial sums, so a busy key is no hot spot. The time span is a filter on the
+    column itself, so it reaches the scan."""
+    kind = events.schema[time].dataType
+    start = date.fromisoformat(first_day)
+    inside = (F.col(time) >= F.lit(start.isoformat()).cast(kind)) & (F.col(time) < F.lit((start + timedelta(days=days)).isoformat()).cast(kind))
     day = F.datediff(F.to_date(time), F.to_date(F.lit(first_day)))
     value = F.count(F.lit(1)).cast("double") if features_from is None else F.sum(features_from.cast("double"))
-    daily = events.select(F.col(key).cast("long").alias("sample_id"), day.alias("day"), *events.columns).where((F.col("day") >= 0) & (F.col("day") < days))
-    daily = daily.groupBy("sample_id", "day").agg(value.alias("v"))
+    daily = events.where(inside).groupBy(F.col(key).cast("long").alias("sample_id"), day.alias("day")).agg(value.alias("v"))
     packed = daily.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("day", "v"))).alias("m"))
     return packed.select("sample_id", F.transform(F.sequence(F.lit(0), F.lit(days - 1)), lambda d: F.coalesce(F.try_element_at("m", d), F.lit(0.0))).alias("features"))

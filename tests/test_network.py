@@ -16,6 +16,7 @@ from ffspark.operators.evaluate import class_counts, evaluation_cost
 from ffspark.operators.forward import layer_values, transform
 from ffspark.operators.gradient import mean_gradient, sample_gradients
 from ffspark.operators.optim import Momentum, RMSprop
+from ffspark.sources.registry import ModelRegistry
 
 LAYERS = [3, 5, 4, 2]
 
@@ -112,9 +113,11 @@ def test_gradient(spark, parts):
 def test_two_level_combine(spark, monkeypatch):
     x, y = data()
     p = fixed_params(LAYERS)
-    plain = mean_gradient(frame(spark, x, y, 9), p)
+    plain = mean_gradient(frame(spark, x, y, 9), p, wide=False)
+    assert not gradient_module.is_wide(frame(spark, x, y, 9))
     monkeypatch.setattr(gradient_module, "DIRECT_PARTIALS", 2)
     monkeypatch.setattr(gradient_module, "FAN_IN", 3)
+    assert gradient_module.is_wide(frame(spark, x, y, 9))
     again = mean_gradient(frame(spark, x, y, 9), p)
     assert np.allclose(plain.grad.flat(), again.grad.flat(), atol=1e-15) and again.n == plain.n
 
@@ -179,6 +182,39 @@ def test_prefetch_equals_single_steps(spark, mode):
     assert np.allclose([t[1:4] for t in one.trace], [t[1:4] for t in many.trace])
 
 
+def test_rows_without_index_and_saving(spark, tmp_path):
+    """Rows that the library numbers itself give what given numbers give; the fit saves what it returns."""
+    x, y = data()
+    df = frame(spark, x, y, 1).orderBy("sample_id").coalesce(1)
+    reg = ModelRegistry(spark, str(tmp_path / "reg"))
+    fit = lambda d, **more: FeedForwardClassifier(LAYERS, batch_size=7, fixed_iter=3, seed=4, **more).fit(d)
+    own, given = fit(df.drop("sample_idx"), save_to=reg, model_name="m"), fit(df)
+    assert np.allclose(own.network.flat(), given.network.flat(), atol=1e-14)
+    assert np.array_equal(reg.load("m").flat(), own.network.flat()) and reg.histories().count() == 3
+    assert not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_many_given_draws_take_a_job_each(spark, monkeypatch):
+    from ffspark.operators import estimator
+
+    x, y = data()
+    df = frame(spark, x, y)
+    drawn = spark.createDataFrame([(it, k, 1 + k % 2) for it in range(2) for k in range(40)], "iter int, sample_idx long, mult long")
+    fit = lambda: FeedForwardClassifier(LAYERS, batch_size=60, fixed_iter=2, draws=drawn, initial=fixed_params(LAYERS)).fit(df).network.flat()
+    together = fit()
+    monkeypatch.setattr(estimator, "PREFETCH_TOTAL", 70)
+    assert np.allclose(fit(), together, atol=1e-14)
+
+
+def test_slices_of_sample_gradients(spark, monkeypatch):
+    x, y = data()
+    p = fixed_params(LAYERS)
+    want = {r.sample_id: r.grad for r in sample_gradients(frame(spark, x, y), p).collect()}
+    monkeypatch.setattr(gradient_module, "SLICE_BYTES", 8 * len(p.flat()) * 3)
+    got = {r.sample_id: r.grad for r in sample_gradients(frame(spark, x, y), p).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-14) for k in want)
+
+
 def test_fit_lowers_the_cost_and_keeps_history(spark):
     x, y = data()
     seen = []

@@ -8,7 +8,7 @@ SQL = registry.oracle_sql()
 
 def test_every_sql_has_a_query():
     assert set(SQL) <= set(registry.queries())
-    assert set(registry.queries()) - set(SQL) == {"q_fit_time_limit"}
+    assert set(registry.queries()) == set(SQL)
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -16,12 +16,6 @@ def test_query_equals_sql(spark, sf_dir, name):
     assert_same(spark, registry.queries()[name], SQL[name], sf_dir)
 
 
-def test_time_limit_stops(spark, sf_dir):
-    rows = registry.queries()["q_fit_time_limit"](spark, sf_dir).orderBy("iter").collect()
-    assert rows and [r.iter for r in rows] == list(range(len(rows)))
-    assert all(r.best_cost == min(x.cost for x in rows[: k + 1]) for k, r in enumerate(rows))
-
-
 def test_entry(spark, sf_dir):
     import __spark_entry__ as e
 

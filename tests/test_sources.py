@@ -44,7 +44,10 @@ def test_validate(spark):
 def test_dense_index(spark):
     df = spark.range(0, 100, 1, 7).select((F.col("id") * 3).alias("k"))
     got = with_dense_index(df).collect()
-    assert sorted(r.sample_idx for r in got) == list(range(100))
+    assert {(r.k, r.sample_idx) for r in got} == {(3 * k, k) for k in range(100)}
+    holes = with_dense_index(df.where("k < 30 OR k > 200")).collect()
+    assert sorted(r.sample_idx for r in holes) == list(range(len(holes))) and [r.k for r in sorted(holes, key=lambda r: r.sample_idx)] == sorted(r.k for r in holes)
+    assert with_dense_index(df.limit(0)).count() == 0
 
 
 def test_series(spark):
@@ -54,6 +57,13 @@ def test_series(spark):
     assert got == {1: [2.0, 0.0, 1.0]}
 
 
+def test_series_filter_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "events")
+    spark.sql("SELECT 1 AS u, TIMESTAMP_NTZ '2024-01-02 00:00:00' AS t, 'x' AS unused").write.parquet(path)
+    plan = series_samples(spark.read.parquet(path), "u", "t", "2024-01-01", 3)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(t" in plan and "LessThan(t" in plan and "unused" not in plan
+
+
 def test_names(spark):
     names = spark.createDataFrame([("model0.model",), ("model1.model",), ("model3.model",), ("modelX.model",), ("model02.model.bak",)], "name string")
     assert next_free(names) == 2 and model_file_name(None, names) == "model2.model"
@@ -81,6 +91,12 @@ def test_registry(spark, tmp_path):
         reg.load("007", 1)
     reg.export_text("007", 10, str(tmp_path / "text"))
     assert spark.read.csv(str(tmp_path / "text"), header=True).count() == 26
+    odd = "a/b=c d%"
+    reg.save(odd, a, overwrite=3)
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path / "reg") for f in fs if "other" in d}
+    reg.clear(odd, [3, 4])
+    assert reg.current_version(odd) == 0
+    assert before == {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(tmp_path / "reg") for f in fs if "other" in d}
     reg.clear("007")
     assert reg.current_version("007") == 0 and reg.current_version("other") == 1
     with pytest.raises(TypeError):
