@@ -11,9 +11,10 @@ commits names only the bundles of attempts that succeeded.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs
@@ -126,7 +127,7 @@ def _urn(value: str | None) -> int | None:
 def classify_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", min_duplicate: int = MIN_DUPLICATE) -> DataFrame:
     """page_id, url, payload, refers_to: null for responses, else the largest id with an equal payload.
 
-    Payloads are grouped by SHA-256 and length with partial aggregation; only groups of two or more come back.
+    Payloads are grouped by SHA-256 with partial aggregation; only groups of two or more come back. Null payloads are empty.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(SPREAD)).cast("int"))
@@ -137,12 +138,26 @@ def classify_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     return joined.select("page_id", "url", "payload", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"))
 
 
-def write_bundles(records: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES) -> DataFrame:
+Store = Callable[[str], tuple[pyarrow.fs.FileSystem, str]]
+
+
+def open_store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and root of a URI as Spark takes it: Hadoop's names of the S3 connectors stand for that store, and dbfs
+    for the folder where it is mounted."""
+    scheme, _, rest = uri.partition(":")
+    if scheme in ("s3a", "s3n"):
+        uri = f"s3:{rest}"
+    elif scheme == "dbfs":
+        uri = f"file:///dbfs/{rest.lstrip('/')}"
+    return pyarrow.fs.FileSystem.from_uri(uri)
+
+
+def write_bundles(records: DataFrame, path: str, frame_bytes: int = FRAME_BYTES, bundle_bytes: int = BUNDLE_BYTES, store: Store = open_store) -> DataFrame:
     """Write ``records`` (page_id, url, payload, refers_to) as bundles under ``path``, a URI that every executor can
-    reach; returns the committed index."""
+    reach; returns the committed index. ``store`` opens other stores than ``open_store`` knows."""
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs, root = store(path)
         fs.create_dir(root, recursive=True)
         writer, rows, name = BundleWriter(frame_bytes), [], f"{uuid.uuid4().hex}.warc.zst"
 
@@ -167,7 +182,7 @@ def write_bundles(records: DataFrame, path: str, frame_bytes: int = FRAME_BYTES,
     return materialise(records.select("page_id", "url", "payload", "refers_to").mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, path: str) -> DataFrame:
+def read_records(index: DataFrame, path: str, store: Store = open_store) -> DataFrame:
     """Read the indexed records back: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
 
     Digest and length of a response are taken from the payload itself and must agree with its headers; a revisit has
@@ -175,7 +190,7 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pyarrow.fs.FileSystem.from_uri(path)
+        fs, root = store(path)
         name, reader = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
@@ -201,10 +216,11 @@ def archive_pages(pages: DataFrame, path: str | None = None, **names: str) -> Da
     """Write all pages, read them back: page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload.
 
     A null payload is an empty one; a null id stays null and, like any row that has the id of its group's response, is
-    a response. Repeated ids are written as often as they occur. An empty table gives no bundle and no rows.
+    a response. Repeated ids are written as often as they occur. An empty table gives no bundle and no rows. Other columns
+    are ignored, whatever their names.
     """
     path = path or scratch_path(pages.sparkSession, "warc")
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    path = path if re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:", path) else f"file://{path}"
     return read_records(write_bundles(classify_records(pages, **names), path), path)
 
 

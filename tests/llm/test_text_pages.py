@@ -49,6 +49,38 @@ def test_attribute_words_leave_articles_alone(page):
     assert texts(page_lines(page), html_extract.ARTICLE) == ["Text"]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div class='layout has-sidebar'><article><p>Text</p></article></div>", ["Text"]), ("<div id='social-app'><main><p>Text</p></main></div>", ["Text"]), ("<div class='no-sidebar'><p>Text</p></div>", ["Text"]),
+        ("<article><div class='side-effects'><p>Text</p></div></article>", ["Text"]), ("<nav>" + "<span>" * 250 + "menu</nav><p>Text</p>", ["Text"]), ("<div class='sidebar'><p>no</p></div><p>Text</p>", ["Text"]),
+    ],
+)
+def test_names_that_only_look_like_furniture(page, want):
+    assert [t for r, t in page_lines(page) if r != html_extract.OTHER] == want
+
+
+def test_differencing_decides_lines_of_links(spark):
+    """Inside articles, repeated lines of links go, lines of links that a page has alone and repeated prose stay."""
+    page = lambda k: (
+        f"<article><h1>Title {k}</h1><p>Read <a href=/a>this</a> first.</p><p>Repeated prose.</p><ul><li><a href=/s>Share</a></li><li><a href=/m>More</a> <a href=/n>News</a></li></ul><p><a href=/x>Source {k}</a></p></article>"
+    )
+    rows = [(k, f"http://a.org/{k}", page(k)) for k in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    assert got == {k: f"Title {k}\nRead this first.\nRepeated prose.\nSource {k}" for k in range(6)}
+    deleted = sum(len(page_lines(h)) for _, _, h in rows) - sum(t.count("\n") + 1 for t in got.values())
+    assert deleted == 12
+    alone = html_extract.extract_main_text(pages(spark, rows[:1])).first().text
+    assert alone == "Title 0\nRead this first.\nRepeated prose.\nShare\nMore News\nSource 0"
+
+
+def test_a_very_long_page(spark):
+    lines = "".join(f"<p>line {k}</p>" for k in range(20_000))
+    rows = [(1, "http://a.org/1", "<p>Menu</p>" + lines + "<p>own 1</p>"), (2, "http://a.org/2", "<p>Menu</p><p>own 2</p>" + "<p>x</p>" * 5_000), (3, "http://b.org/1", "<article><p>" + "word " * 200_000 + "</p></article>")]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    assert got[1].startswith("line 0\n") and got[1].endswith("line 19999\nown 1") and got[2] == "own 2" + "\nx" * 5_000 and len(got[3]) == 999_999
+
+
 def brute_lcs(a, b):
     t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i in range(len(a) - 1, -1, -1):
@@ -151,6 +183,14 @@ def test_bundle_round_trip():
         warc.BundleReader(pa.BufferReader(b"0" * 40))
 
 
+def test_stores():
+    fs, root = warc.open_store("dbfs:/a/b")
+    assert fs.type_name == "local" and root == "/dbfs/a/b"
+    assert warc.open_store("file:///a/b")[1] == "/a/b"
+    fs, root = warc.open_store("s3a://bucket/a?region=none")
+    assert fs.type_name == "s3" and root == "bucket/a"
+
+
 def test_archive(spark, tmp_path):
     big = "é" * 700
     rows = [(1, "http://a/", big), (2, None, big), (3, "http://c/", "small"), (4, "http://d/", "small"), (5, "u", None), (6, "u", ""), (None, "n", big), (9, "h", "y" * 999), (10, "h", "y" * 999), (11, "z", "q" * 200_000), (11, "z", "q" * 200_000)]
