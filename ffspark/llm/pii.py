@@ -71,8 +71,8 @@ def seeds(text: Column) -> Column:
 
 
 def _words(text: Column) -> Column:
-    """Words in lower case, digits as 0."""
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words in lower case, digits as 0; marks that stand alone, such as a table's bars, are no words."""
+    return F.filter(F.split(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), lambda w: w.rlike(r"[\p{L}0]"))
 
 
 def shape(value: Column) -> Column:
