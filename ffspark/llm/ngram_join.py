@@ -394,3 +394,27 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     tagged = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
     tagged = tagged.withColumn(ref, F.coalesce(F.col(id_col).cast("long"), F.col(key)))
     return tagged.join(stay, ref, "left_semi").dropDuplicates([ref, key]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def oracle_sql(words: int = 5, num: int = 80, den: int = 100) -> str:
+    """``near_groups`` without ``ref`` in DuckDB's SQL: shingle sets as sorted lists, pairs that share one of the rarest
+    shingles of both, compared on the whole lists, and components by recursion."""
+    return rf"""
+WITH RECURSIVE words AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingled AS MATERIALIZED (
+  SELECT row, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {words} THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - {words - 2}), lambda i: array_to_string(w[i : i + {words - 1}], ' ')))) END AS s FROM words),
+nodes AS MATERIALIZED (SELECT s, min(doc_id) AS class_id, min(row) AS node, len(s) AS n FROM shingled WHERE len(s) > 0 GROUP BY s),
+items AS MATERIALIZED (SELECT node, n, unnest(s) AS h FROM nodes),
+counted AS (SELECT node, n, h, row_number() OVER (PARTITION BY node ORDER BY df, h) AS k FROM items JOIN (SELECT h, count(*) AS df FROM items GROUP BY h) USING (h)),
+rare AS (SELECT node, n, h FROM counted WHERE k <= n - ({num} * n + {den} - 1) // {den} + 1),
+pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM rare a JOIN rare b ON a.h = b.h AND a.node < b.node AND {den} * a.n >= {num} * b.n AND {den} * b.n >= {num} * a.n),
+compared AS (SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS i FROM pairs JOIN nodes x ON a = x.node JOIN nodes y ON b = y.node),
+links AS MATERIALIZED (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM compared WHERE {den} * i >= {num} * (total - i)),
+reached AS (SELECT node, node AS far FROM nodes UNION SELECT reached.node, b FROM reached JOIN links ON far = a),
+components AS (SELECT reached.node, min(class_id) AS component_id FROM reached JOIN nodes ON far = nodes.node GROUP BY reached.node),
+degrees AS (SELECT a AS node, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, len(shingled.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
+FROM shingled LEFT JOIN nodes ON shingled.s = nodes.s LEFT JOIN components USING (node) LEFT JOIN degrees USING (node)
+"""

@@ -72,7 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_secret_scans": secret_scan.oracle_sql(),
         "op3_warc": warc.ORACLE_SQL,
+        "op4_ngram_jaccard_join": ngram_join.oracle_sql(words=4, num=85, den=100),
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op9_mixing": mixing.oracle_sql(),

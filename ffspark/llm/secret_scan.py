@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ffspark.llm.shared import discard, lookup, materialise, scratch_path
-from ffspark.llm.spans import count_kind, listing, marked, matches, unmarked
+from ffspark.llm.spans import MARKED_TEXTS_SQL, count_kind, cut_sql, listing, marked, matches, unmarked
 
 
 class SecretRule(NamedTuple):
@@ -128,3 +128,19 @@ def two_pushes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ledger = BlobLedger(spark, scratch_path(spark, "ledger"))
     ledger.scan(docs.where(F.pmod(F.xxhash64(id_col), F.lit(2)) == 0), path_col=id_col, text_col=text_col)
     return secret_findings(docs, ledger, id_col, text_col)
+
+
+def oracle_sql(rules: tuple[SecretRule, ...] = RULES) -> str:
+    """``two_pushes`` in DuckDB's SQL: all matches of each rule with their places, measured and listed in order."""
+    quoted = lambda r: r.pattern.replace("'", "''")
+    measure = "CASE kind " + " ".join(f"WHEN '{r.kind}' THEN length({f"regexp_extract(v, '{quoted(r)}', 2)" if r.tail else "v"}) >= {r.at_least}" for r in rules) + " END"
+    counts = ", ".join(f"count_if(kind = '{r.kind}')::BIGINT AS n_{r.kind}" for r in rules)
+    return f"""
+WITH texts AS ({MARKED_TEXTS_SQL}),
+placed AS ({cut_sql({r.kind: quoted(r) for r in rules})}),
+listed AS (
+  SELECT row, {counts}, string_agg(concat_ws(':', kind, start, start + length(v)), ',' ORDER BY start, rank) AS spans
+  FROM placed WHERE {measure} GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in rules)}, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM texts LEFT JOIN listed USING (row)
+"""

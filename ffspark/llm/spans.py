@@ -101,3 +101,16 @@ def listing(spans: Column) -> Column:
 
 def count_kind(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+
+#: DuckDB's texts (row, doc_id, text) of ``documents``, without marks of their own.
+MARKED_TEXTS_SQL = f"SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{MARK}{INNER}', '{OTHER}{OTHER}') AS text FROM documents"
+
+
+def cut_sql(patterns: dict[str, str]) -> str:
+    """A DuckDB query for (row, rank, kind, start, v), every match of the patterns (by kind, quoted) in ``texts``."""
+    one = lambda rank, kind, pattern: f"SELECT row, {rank} AS rank, '{kind}' AS kind, string_split(regexp_replace(text, '{pattern}', '{MARK}\\0{MARK}', 'g'), '{MARK}') AS p FROM texts"
+    cut = "\n  UNION ALL ".join(one(rank, kind, pattern) for rank, (kind, pattern) in enumerate(patterns.items()))
+    pieces = f"SELECT row, rank, kind, unnest(p) AS v, generate_subscripts(p, 1) AS k FROM ({cut}) WHERE len(p) > 1"
+    sums = f"SELECT *, sum(length(v)) OVER (PARTITION BY row, rank ORDER BY k) - length(v) AS start FROM ({pieces})"
+    return f"SELECT row, rank, kind, start::BIGINT AS start, v FROM ({sums}) WHERE k % 2 = 0"
