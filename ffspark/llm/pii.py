@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ffspark.llm.shared import discard, lookup, materialise
-from ffspark.llm.spans import count_kind, listing, marked, matches, unmarked
+from ffspark.llm.spans import MARKED_TEXTS_SQL, count_kind, cut_sql, listing, marked, matches, unmarked
 
 KINDS = ("email", "ip", "card", "phone")
 #: Fixed patterns. ``++`` and the look-behinds only keep long runs from being tried again at each of their characters.
@@ -153,3 +153,68 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = F.array_sort(F.concat("base", F.coalesce(F.col("new").cast(SPAN), F.array().cast(SPAN))))
     n_found = F.coalesce(F.size("new"), F.lit(0)).cast("long")
     return out.select("doc_id", *n, F.sha2(listing(F.col("base")), 256).alias("base_sha256"), listing(both).alias("spans"), n_found.alias("n_found"), (F.size("base") + n_found).alias("n_spans"))
+
+
+#: The base patterns for engines whose regular expressions look at no context.
+PLAIN_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": PATTERNS["phone"],
+}
+
+
+def oracle_sql(rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> str:
+    """``personal_data`` in DuckDB's SQL, round by round; words are cut by position, contexts read from the text."""
+    word_list = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '[\p{{L}}0]'))".format
+    short = f"CASE WHEN length({{0}}) > {LONGEST} THEN sha256({{0}}) ELSE {{0}} END".format
+    steps, known = [], "seeds"
+    for k in range(rounds):
+        sums = ", ".join(f"coalesce(sum(c) FILTER (kind = '{kind}'), 0) AS {kind}" for kind in KINDS)
+        first = " ".join(f"WHEN {kind} = greatest({', '.join(KINDS)}) THEN '{kind}'" for kind in KINDS)
+        best = f"SELECT pattern, count(*) AS n, {sums} FROM edges LEFT JOIN (SELECT value, kind, c FROM {known}) USING (value) GROUP BY pattern"
+        steps.append(
+            f"patterns{k} AS MATERIALIZED (SELECT pattern, CASE {first} END AS kind, greatest({', '.join(KINDS)}) / (n + 1.0::DOUBLE / {support}) AS score"
+            f" FROM ({best}) WHERE n >= {support} AND greatest({', '.join(KINDS)}) > 0)"
+        )
+        known = f"values{k}"
+        both = f"SELECT value, score AS c, patterns{k}.kind AS kind FROM edges JOIN patterns{k} USING (pattern) UNION ALL SELECT value, c, kind FROM seeds"
+        steps.append(f"{known} AS MATERIALIZED (SELECT value, top.c AS c, top.kind AS kind FROM (SELECT value, max({{'c': c, 'kind': kind}}) AS top FROM ({both}) GROUP BY value))")
+    graph = ",\n".join(steps[:-1])
+    rank = " ".join(f"WHEN '{kind}' THEN {k}" for k, kind in enumerate(KINDS))
+    counts = ", ".join(f"count_if(base AND kind = '{kind}')::BIGINT AS n_{kind}" for kind in KINDS)
+    return rf"""
+WITH texts AS MATERIALIZED ({MARKED_TEXTS_SQL}),
+matched AS (SELECT *, regexp_replace(v, '[^0-9]', '', 'g') AS digits FROM ({cut_sql(PLAIN_PATTERNS)})),
+spans AS MATERIALIZED (
+  SELECT row, rank, kind, start, start + length(v) AS stop FROM matched
+  WHERE CASE kind WHEN 'email' THEN true WHEN 'phone' THEN length(digits) BETWEEN 9 AND 15
+    WHEN 'ip' THEN list_bool_and(list_transform(string_split(v, '.'), lambda x: coalesce(try_cast(x AS HUGEINT), 256) <= 255))
+    ELSE length(digits) BETWEEN 13 AND 19 AND list_sum(list_transform(range(1, length(digits) + 1), lambda i:
+      CASE WHEN i % 2 = 1 THEN digits[-i]::INT WHEN digits[-i]::INT > 4 THEN 2 * digits[-i]::INT - 9 ELSE 2 * digits[-i]::INT END)) % 10 = 0 END),
+words AS (SELECT row, start, start + length(v) AS stop, v FROM ({cut_sql({"word": r"[^\x20\x09-\x0D]+"})}) WHERE regexp_matches(v, '[0-9@]')),
+contexts AS (
+  SELECT row, start, stop, v, regexp_replace(regexp_replace(v, '\p{{L}}+', 'a', 'g'), '[0-9]', '0', 'g') AS drawn,
+    ['^', '^'] || {word_list(f"substring(text, greatest(1, start - {CONTEXT_CHARS - 1}), least(start, {CONTEXT_CHARS}))")} AS l,
+    {word_list(f"substring(text, stop + 1, {CONTEXT_CHARS})")} || ['$', '$'] AS r
+  FROM words JOIN texts USING (row)),
+shaped AS (SELECT row, start, stop, {short("v")} AS value, {short("drawn")} AS shape, l[-2] AS l2, l[-1] AS l1, r[1] AS r1, r[2] AS r2 FROM contexts),
+candidates AS MATERIALIZED (
+  SELECT shaped.row, shaped.start, shaped.stop, any_value(value) AS value, arg_min(kind, rank) AS kind,
+    any_value([concat_ws(' ', l2, l1, '_'), concat_ws(' ', l1, shape, r1), concat_ws(' ', '_', shape, r1, r2)]) AS patterns
+  FROM shaped LEFT JOIN spans ON spans.row = shaped.row AND spans.start < shaped.stop AND shaped.start < spans.stop GROUP BY ALL),
+edges AS MATERIALIZED (SELECT pattern, value, min(kind) AS kind0 FROM (SELECT unnest(patterns) AS pattern, value, kind FROM candidates) GROUP BY pattern, value),
+seeds AS MATERIALIZED (SELECT value, min(kind0) AS kind, 1.0::DOUBLE AS c FROM edges WHERE kind0 IS NOT NULL GROUP BY value),
+{graph},
+named AS (
+  SELECT row, start, stop, max({{'score': score, 'kind': p.kind}}).kind AS kind
+  FROM (SELECT row, start, stop, unnest(patterns) AS pattern FROM candidates WHERE kind IS NULL) JOIN patterns{rounds - 1} p USING (pattern) WHERE score >= {accept} GROUP BY row, start, stop),
+every AS (SELECT row, rank, kind, start, stop, true AS base FROM spans UNION ALL SELECT row, CASE kind {rank} END, kind, start, stop, false FROM named),
+listed AS (
+  SELECT row, {counts}, count_if(NOT base)::BIGINT AS n_found, count(*) AS n_spans, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY rank, start) AS spans,
+    string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY rank, start) FILTER (base) AS own
+  FROM every GROUP BY row)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_found, 0) AS n_found, coalesce(n_spans, 0) AS n_spans
+FROM texts LEFT JOIN listed USING (row)
+"""

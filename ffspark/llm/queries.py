@@ -78,4 +78,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_quality_rules": quality_rules.ORACLE_SQL,
         "op9_mixing": mixing.oracle_sql(),
+        "op10_pii": pii.oracle_sql(),
     }

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 from pyspark.sql import functions as F
 
 from ffspark.llm import pii, secret_scan
@@ -41,6 +42,7 @@ def test_secrets(spark):
         text = ",".join(f"{k}:{a}:{b}" for a, _, k, b in want)
         assert (r.spans, r.base_sha256) == (text, sha(text)), r.doc_id
         assert [r.n_assign, r.n_access, r.n_hex] == [sum(s[1] == k for s in want) for k in range(3)]
+    assert by_sql(secret_scan.oracle_sql(), SECRETS) == {r.doc_id: r.asDict() for r in got}
     assert secret_scan.two_pushes(frame(spark, SECRETS).limit(0)).count() == 0
     assert not re.search("Python|Arrow|Pandas", secret_scan.scan_blobs(frame(spark, SECRETS).selectExpr("blob", "text", "array('hex:1') AS missing"), secret_scan.RULES)._jdf.queryExecution().executedPlan().toString())
 
@@ -104,6 +106,15 @@ PERSONAL = [
 ]
 
 
+def by_sql(sql, texts):
+    """Rows by id of the SQL over a table of these texts, by column name."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    rel = con.sql(sql)
+    return {r[0]: dict(zip(rel.columns, r, strict=True)) for r in rel.fetchall()}
+
+
 def test_personal_data(spark):
     got = pii.personal_data(frame(spark, PERSONAL)).collect()
     assert len(got) == len(PERSONAL)
@@ -130,6 +141,7 @@ def test_bootstrapping_discovers(spark):
     at = texts[12].index("bob99")
     assert got[12].spans == f"email:{at}:{at + len('bob99@intranet')}" and got[12].n_found == 1 and got[12].n_email == 0
     assert got[12].base_sha256 == sha("")
+    assert by_sql(pii.oracle_sql(), texts) == {k: r.asDict() for k, r in got.items()}
     assert all(got[k].spans == "" for k in range(15, len(texts))) and got[13].spans == ""
 
 
@@ -159,5 +171,6 @@ def test_recall_on_planted_identifiers(spark):
     got = {r.doc_id: r for r in pii.personal_data(frame(spark, texts)).collect()}
     caught = sum(got[k].spans == f"{kind}:{texts[k].index(v)}:{texts[k].index(v) + len(v)}" for k, (kind, v) in planted.items())
     assert caught >= 0.9 * len(planted)
+    assert by_sql(pii.oracle_sql(), texts) == {k: r.asDict() for k, r in got.items()}
     assert all(got[k].n_found == 0 for k in range(plain, plain + 120))
     assert got[len(texts) - 1].spans == f"phone:11:{11 + len(long)}" and all(r.n_spans == r.spans.count(":") // 2 for r in got.values())
