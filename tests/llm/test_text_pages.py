@@ -124,7 +124,7 @@ def test_extraction(spark):
     assert html_extract.extract_main_text(pages(spark, rows).limit(0)).count() == 0
 
 
-def test_partners_for_any_partitioning(spark):
+def test_partners_for_any_partitioning(spark, monkeypatch):
     """Pages at range borders, groups of copies and near copies of one path; without an article element."""
     plain = lambda own: f"<p>Welcome</p><p>{own}</p><p>Contact us</p>"
     rows = [(k, f"http://h{k % 3}.org/p/{k:03}", plain(f"text {k}")) for k in range(60)]
@@ -137,15 +137,16 @@ def test_partners_for_any_partitioning(spark):
     adaptive = spark.conf.get("spark.sql.adaptive.enabled")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        for n in (1, 24):
+        for n, most in ((1, html_extract.RANGE_PAGES), (24, html_extract.RANGE_PAGES), (1, 7)):
             spark.conf.set("spark.sql.shuffle.partitions", n)
+            monkeypatch.setattr(html_extract, "RANGE_PAGES", most)
             got = {r.page_id: r for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
             assert {k: r.text for k, r in got.items()} == want
             seen.append({k: r.neighbour_id for k, r in got.items()})
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
-    assert seen[0] == seen[1]
+    assert seen[0] == seen[1] == seen[2]
 
 
 def test_extraction_of_the_page_table(spark, sf_dir):
