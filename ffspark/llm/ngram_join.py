@@ -231,20 +231,6 @@ def _apart(held: DataFrame, num: int, den: int) -> DataFrame:
     return _ordered(x.join(y, ["h", "block", "class"]).where(bigger & (F.col("comp") != F.col("y_comp")) & _filters(num, den)))
 
 
-def _merged(comps: DataFrame, more: DataFrame) -> DataFrame:
-    """id, comp of the nodes of ``comps`` (node, comp) and of the links ``more`` (a, b) between its components; a node
-    without label is a component of its own. Labels are linked, not nodes, so links inside components aren't read again."""
-    of = lambda c: comps.select(F.col("node").alias(c), F.col("comp").alias(f"comp_{c}"))
-    ends = lookup(lookup(more, "a", of("a"), "left"), "b", of("b"), "left")
-    bridges = ends.select(F.coalesce("comp_a", "a").alias("a"), F.coalesce("comp_b", "b").alias("b")).distinct()
-    joined = connected_components(bridges).select(F.col("node").alias("comp"), F.col("comp").alias("low"))
-    new = more.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(comps, "node", "left_anti")
-    every = comps.unionByName(new.select("node", F.col("node").alias("comp")))
-    out = materialise(lookup(every, "comp", joined, "left").select(F.col("node").alias("id"), F.coalesce("low", "comp").alias("comp")), "components")
-    discard(comps)
-    return out
-
-
 def _overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of all sets in ``a`` with all in ``b``. Frequent shingles are columns of a matrix
     product, rare ones are counted pair by pair."""
@@ -378,11 +364,11 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     # Second round: pairs between nodes that are still apart.
     held = postings.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     held = materialise(held, "held")
-    discard(postings)
+    discard(postings, comps)
     more = materialise(_verify(_apart(held, num, den).join(star, ["a", "b"], "left_anti"), sets, num, den), "links")
-    discard(held, star, first)
-    comps = _merged(comps, more)
-    discard(more)
+    discard(held, star)
+    comps = connected_components(first.unionByName(more)).withColumnRenamed("node", "id")
+    discard(first, more)
 
     degree = materialise(_link_counts(comps, sets, num, den), "degrees") if count_links else comps.select("id", F.lit(0).cast("long").alias("n_links"))
     named = comps.join(sets.select("id", "node"), "id").join(degree, "id").join(nodes.select("node", "class_id"), "node")
