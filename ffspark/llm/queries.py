@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ffspark.llm import collocations, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, pii, quality_knn, quality_rules, secret_scan, warc
+from ffspark.llm import collocations, exact_dedup, html_extract, license_scan, mixing, ngram_join, packing, pii, quality_knn, quality_rules, secret_scan, spelling, warc
 
 #: Vocabulary file of the packing query; see /opt/tokenizers/README.md.
 VOCABULARY = "word_bpe_49k.json"
@@ -67,6 +67,10 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_labels(table(spark, sf_dir, "documents"))
 
@@ -74,7 +78,7 @@ def op13_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_html_extraction, op2_secret_scans, op3_warc, op4_ngram_jaccard_join, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_quality_rules, op9_mixing, op10_pii, op11_phrase_collocations, op13_license_scans)
+    own = (op1_html_extraction, op2_secret_scans, op3_warc, op4_ngram_jaccard_join, op5_quality_classifier, op6_exact_dedup, op7_packing, op8_quality_rules, op9_mixing, op10_pii, op11_phrase_collocations, op12_spelling_variants, op13_license_scans)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -88,5 +92,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_mixing": mixing.oracle_sql(),
         "op10_pii": pii.oracle_sql(),
         "op11_phrase_collocations": collocations.oracle_sql(),
+        "op12_spelling_variants": spelling.oracle_sql(),
         "op13_license_scans": license_scan.oracle_sql(),
     }
