@@ -2,8 +2,9 @@
 three words is built for each group by itself, and phrase counts are read from the totals of its leaves.
 
 1. Prefix frequencies: every task counts its words, Spark adds the counts up. A word whose suffixes would fill too much of
-   a group is a heavy prefix and is extended by its next word, and once more if the pair is heavy too.
-2. Groups: prefixes are dealt to as many groups a language as keep the largest within the budget, which is checked.
+   a group is a heavy prefix and is extended by its next word; if that is heavy too, by a third. A pair is no more
+   frequent than the rarer of its words, so no prefix fills more of a group than a light word may, but for single leaves.
+2. Groups: prefixes are dealt to as many groups a language as keep the largest load of words within the budget.
 3. Suffixes (three words, fewer at the end of a piece) are combined in each task and travel as sorted, packed runs, one for
    each group and batch; a group's task merges its runs into leaves and adds those up to the nodes above.
 
@@ -18,7 +19,7 @@ from zlib import crc32
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -87,14 +88,12 @@ class _Words:
         at = np.flatnonzero(n)
         return self.distinct.take(pa.array(at)), n[at]
 
-    def windows(self, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct windows of two or three words that begin inside the chunk: first, second, third (-1: the piece ends)
-        and how often. ``keep`` marks the first words that count."""
+        and how often."""
         ids, n = np.concatenate((self.ids, [-1, -1])), self.own
         a, b, c = ids[:n], ids[1 : n + 1], ids[2 : n + 2]
         ok = (a >= 0) & (b >= 0)
-        if keep is not None:
-            ok &= keep[np.maximum(a, 0)]
         width = len(self.distinct) + 1
         pairs, at = np.unique(a[ok] * width + b[ok], return_inverse=True)
         triples, count = np.unique(at * width + (c[ok] + 1), return_counts=True)
@@ -163,71 +162,43 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("f"))
 
 
-def _pair_counts(texts: DataFrame, heavy: dict[str, set[bytes]]) -> DataFrame:
-    """lang, word, second, f: how often each word follows a heavy prefix within a piece."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def tables() -> Iterator[pa.Table]:
-            for lang, words in _batches(batches):
-                a, b, _, n = words.windows(pc.is_in(words.distinct, pa.array(sorted(heavy.get(lang, ())), pa.binary())).to_numpy(zero_copy_only=False))
-                yield pa.table({"lang": pa.array([lang] * len(a), pa.string()), "word": _text(words.distinct.take(pa.array(a))), "second": _text(words.distinct.take(pa.array(b))), "n": n})
-
-        yield from _combined(tables(), ["lang", "word", "second"])
-
-    return texts.mapInArrow(run, "lang string, word string, second string, n long").groupBy("lang", "word", "second").agg(F.sum("n").alias("f"))
-
-
-def _spread(first: Column, second: Column) -> Column:
-    """The number by which a pair is dealt to groups; ``_routes`` has the same."""
-    return (F.crc32(first.cast("binary")) * F.lit(_STEP) + F.crc32(second.cast("binary"))).bitwiseAND(F.lit(_MASK))
-
-
 class Plan:
-    """How suffixes are dealt: the number of groups of a language, its heavy words and its heavy pairs."""
+    """How suffixes are dealt: the number of groups of a language, and its heavy words."""
 
-    def __init__(self, groups: int, words: dict[str, set[bytes]], pairs: dict[str, set[tuple[bytes, bytes]]]):
-        self.groups, self.words, self.pairs = groups, words, pairs
+    def __init__(self, groups: int, heavy: dict[str, set[bytes]]):
+        self.groups, self.heavy = groups, heavy
 
 
-def vertical_partitions(texts: DataFrame, words: DataFrame, budget: int = BUDGET) -> tuple[Plan, DataFrame | None]:
-    """The plan for these texts, and the counts of all pairs that begin with a heavy word (None without such words).
+def vertical_partitions(words: DataFrame, budget: int = BUDGET) -> Plan:
+    """The plan for the word counts of ``word_counts``.
 
-    Only prefixes above an eighth of the budget come to the driver; there can't be more than 8 x suffixes / budget, and
-    the budget is raised so that this is at most ``MAX_HEAVY``. Groups are made more until none exceeds the budget."""
+    Only words above an eighth of the budget come to the driver; there can't be more than 8 x suffixes / budget, and the
+    budget is raised so that this is at most ``MAX_HEAVY``. Groups hold half a budget on average; they are made more until
+    the light words of none exceed it."""
     total = words.agg(F.sum("f")).first()[0] or 0
     budget = max(budget, -(-SHARE * total // MAX_HEAVY))
     limit = max(1, budget // SHARE)
     heavy: dict[str, set[bytes]] = {}
     for r in words.where(F.col("f") > limit).collect():
         heavy.setdefault(r.lang, set()).add(r.word.encode())
-    pairs, twice, loads = None, {}, []
-    if heavy:
-        pairs = materialise(_pair_counts(texts, heavy), "pairs")
-        for r in pairs.where(F.col("f") > limit).collect():
-            twice.setdefault(r.lang, set()).add((r.word.encode(), r.second.encode()))
-        loads.append(pairs.where(F.col("f") <= limit).select("lang", _spread(F.col("word"), F.col("second")).alias("h"), "f"))
-    loads.append(words.where(F.col("f") <= limit).select("lang", F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(_MASK)).alias("h"), "f"))
-    load = loads[0] if len(loads) == 1 else loads[0].unionByName(loads[1])
+    load = words.where(F.col("f") <= limit).select("lang", F.crc32(F.col("word").cast("binary")).bitwiseAND(F.lit(_MASK)).alias("h"), "f")
     groups = max(1, -(-2 * total // budget))
     while (load.groupBy("lang", F.pmod("h", F.lit(groups)).alias("g")).agg(F.sum("f").alias("s")).agg(F.max("s")).first()[0] or 0) > budget:
         groups *= 2
-    return Plan(groups, heavy, twice), pairs
+    return Plan(groups, heavy)
 
 
 def _routes(plan: Plan, lang: str, words: _Words, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """The group of each window: by its first word, by two words after a heavy one, by all three after a heavy pair."""
+    """The group of each window: by its first word, by two words if that is heavy, by all three if both are. A word's own
+    number is what ``vertical_partitions`` has."""
     distinct = words.distinct.to_pylist()
     crc = np.fromiter((crc32(w) for w in distinct), np.int64, len(distinct))
     one = crc[a] & _MASK
-    heavy = plan.words.get(lang)
-    if heavy:
+    if heavy := plan.heavy.get(lang):
+        mark = np.fromiter((w in heavy for w in distinct), bool, len(distinct))
         two = (crc[a] * _STEP + crc[b]) & _MASK
-        place = {w: k for k, w in enumerate(distinct)} if plan.pairs.get(lang) else {}
-        codes = [place[x] * len(distinct) + place[y] for x, y in plan.pairs.get(lang, ()) if x in place and y in place]
-        both = np.isin(a * len(distinct) + b, np.array(codes, np.int64))
         three = (two * _STEP + np.where(c < 0, 0, crc[c])) & _MASK
-        mark = np.fromiter((w in heavy for w in distinct), bool, len(distinct))
-        one = np.where(mark[a], np.where(both, three, two), one)
+        one = np.where(mark[a], np.where(mark[b], three, two), one)
     return one % plan.groups
 
 
@@ -259,8 +230,9 @@ def packed_suffixes(texts: DataFrame, plan: Plan) -> DataFrame:
 
 
 def subtrees(runs: DataFrame, plan: Plan, min_count: int) -> DataFrame:
-    """lang, phrase, words, f of all inner nodes and leaves with ``min_count`` occurrences or more. Each group's runs are
-    merged by themselves; nodes of heavy pairs, whose leaves are dealt to many groups, are left to the prefix counts."""
+    """lang, phrase, words, f, whole of all inner nodes and leaves with ``min_count`` occurrences or more. Each group's runs
+    are merged by themselves. The leaves of two heavy words are dealt to many groups: such a pair has a row for each of
+    them, however small, with ``whole`` false."""
     shipped = runs.sparkSession.sparkContext.broadcast(plan)
 
     def build(table: pa.Table) -> pa.Table:
@@ -273,18 +245,21 @@ def subtrees(runs: DataFrame, plan: Plan, min_count: int) -> DataFrame:
         del lines
         parts = pc.split_pattern(leaves.column("s").combine_chunks(), b"\t").flatten()
         above = pa.table({"s": parts.take(pa.array(np.arange(0, len(parts), 2))), "n": leaves.column("n_sum")}).group_by("s").aggregate([("n", "sum")])
-        above = above.filter(pc.greater_equal(above.column("n_sum"), min_count))
-        twice = shipped.value.pairs.get(lang)
-        if twice:
-            above = above.filter(pc.invert(pc.is_in(above.column("s"), pa.array([b" ".join(x) for x in twice], pa.binary()))))
+        split = np.zeros(above.num_rows, bool)
+        if heavy := shipped.value.heavy.get(lang):
+            pairs = pc.split_pattern(above.column("s").combine_chunks(), b" ").flatten()
+            known = pc.is_in(pairs, pa.array(sorted(heavy), pa.binary())).to_numpy(zero_copy_only=False)
+            split = known[0::2] & known[1::2]
+        keep = split | (above.column("n_sum").to_numpy() >= min_count)
+        above, split = above.filter(pa.array(keep)), split[keep]
         third = parts.take(pa.array(np.arange(1, len(parts), 2)))
         leaves = leaves.filter(pc.and_(pc.greater_equal(leaves.column("n_sum"), min_count), pc.greater(pc.binary_length(third), 0)))
         phrase = pa.chunked_array([*above.column("s").chunks, *pc.replace_substring(leaves.column("s").cast(pa.string()), "\t", " ").cast(pa.binary()).chunks], pa.binary())
         size = np.repeat(np.array([2, 3], np.int32), [above.num_rows, leaves.num_rows])
         count = pa.chunked_array([*above.column("n_sum").chunks, *leaves.column("n_sum").chunks], pa.int64())
-        return pa.table({"lang": pa.array([lang] * len(size), pa.string()), "phrase": phrase.cast(pa.string()), "words": size, "f": count})
+        return pa.table({"lang": pa.array([lang] * len(size), pa.string()), "phrase": phrase.cast(pa.string()), "words": size, "f": count, "whole": np.concatenate((~split, np.ones(leaves.num_rows, bool)))})
 
-    return runs.groupBy("lang", "grp").applyInArrow(build, "lang string, phrase string, words int, f long")
+    return runs.groupBy("lang", "grp").applyInArrow(build, "lang string, phrase string, words int, f long, whole boolean")
 
 
 def phrase_counts(docs: DataFrame, min_count: int = 10, budget: int = BUDGET, text_col: str = "text", lang_col: str = "lang") -> tuple[DataFrame, DataFrame]:
@@ -293,20 +268,14 @@ def phrase_counts(docs: DataFrame, min_count: int = 10, budget: int = BUDGET, te
     texts = texts_of(docs, text_col, lang_col)
     with arrow_batches(docs.sparkSession, "8m"):
         words = materialise(word_counts(texts), "words")
-        plan, pairs = vertical_partitions(texts, words, budget)
-        nodes = [materialise(subtrees(packed_suffixes(texts, plan), plan, min_count), "subtrees")]
+        plan = vertical_partitions(words, budget)
+        nodes = materialise(subtrees(packed_suffixes(texts, plan), plan, min_count), "subtrees")
     langs = materialise(words.groupBy("lang").agg(F.sum("f").alias("n")), "langs")
-    nodes.append(words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))
-    if plan.pairs:
-        limit = [(lang, b" ".join(p).decode()) for lang, found in plan.pairs.items() for p in found]
-        twice = docs.sparkSession.createDataFrame(limit, "lang string, phrase string")
-        named = pairs.select("lang", F.concat_ws(" ", "word", "second").alias("phrase"), F.lit(2).alias("words"), "f")
-        nodes.append(named.join(twice, ["lang", "phrase"], "left_semi").where(F.col("f") >= min_count))
-    out = nodes[0]
-    for more in nodes[1:]:
-        out = out.unionByName(more)
+    out = nodes.where("whole").drop("whole").unionByName(words.where(F.col("f") >= min_count).select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f"))
+    if plan.heavy:
+        out = out.unionByName(nodes.where("NOT whole").groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= min_count))
     counts = materialise(out, "phrases")
-    discard(words, nodes[0], *([pairs] if pairs is not None else []))
+    discard(words, nodes)
     return langs, counts
 
 
