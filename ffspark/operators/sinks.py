@@ -13,6 +13,7 @@ from ffspark.operators.evaluate import class_counts
 from ffspark.operators.forward import transform
 from ffspark.sources.registry import ModelRegistry, next_free
 from ffspark.sources.samples import validate_samples
+from ffspark.sources.storage import claim, names_in
 
 
 class Classified(NamedTuple):
@@ -22,13 +23,13 @@ class Classified(NamedTuple):
 
 
 def next_run(spark: SparkSession, out: str, model: str) -> str:
-    """``<out>/sorted_by_<model>_<k>`` with the first free k from 0."""
-    jvm = spark._jvm
-    root = jvm.org.apache.hadoop.fs.Path(out)
-    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [(s.getPath().getName(),) for s in fs.listStatus(root)] if fs.exists(root) else []
+    """``<out>/sorted_by_<model>_<k>`` with the first free k from 0, reserved for the caller: runs that ask at once get
+    numbers of their own."""
     prefix = f"sorted_by_{model}_"
-    k = next_free(spark.createDataFrame(names, "name string"), prefix, "")
+    taken = {n for folder in (out, f"{out.rstrip('/')}/_claims") for n in names_in(spark, folder)}
+    k = next_free(spark.createDataFrame([(n,) for n in taken], "name string"), prefix, "")
+    while f"{prefix}{k}" in taken or not claim(spark, f"{out.rstrip('/')}/_claims/{prefix}{k}"):
+        k += 1
     return f"{out.rstrip('/')}/{prefix}{k}"
 
 

@@ -1,101 +1,142 @@
-"""Models as Parquet tables: parameters partitioned by model and version, training histories beside them."""
+"""Models on shared storage: each save is a folder of its own, seen once it is committed.
+
+Layout under the registry's path: ``data/<model>/<version>/<save>/params`` and ``/history`` hold Parquet tables,
+``commits/<model>/<version>/<number>`` names the save that holds since then, and ``claims/<model>/<version>`` reserves a
+new version for one writer. Readers look at commits only, so a save that broke off is never seen.
+"""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import uuid
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ffspark.functions.params import PARAM_SCHEMA, Params, from_frame, to_frame
+from ffspark.sources.storage import claim, names_in, remove, text_of
 
 HISTORY_SCHEMA = "model string, version int, iter int, cost double, l_rate double, best_cost double, elapsed_s double"
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 class ModelRegistry:
     """All models under one path, on any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _table(self, part: str, schema: str) -> DataFrame:
-        fs, p = _fs(self.spark, f"{self.path}/{part}")
-        if not fs.exists(p):
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{part}")
+    def _at(self, part: str, model: str, version: int | None = None) -> str:
+        return f"{self.path}/{part}/{quote(model, safe='')}" + (f"/{version}" if version is not None else "")
+
+    def versions(self, model: str) -> list[int]:
+        """The committed versions, in order."""
+        found = [int(v) for v in names_in(self.spark, self._at("commits", model))]
+        return sorted(v for v in found if names_in(self.spark, self._at("commits", model, v)))
+
+    def models(self) -> list[str]:
+        return [unquote(m) for m in names_in(self.spark, f"{self.path}/commits") if self.versions(unquote(m))]
+
+    def _saves(self, model: str | None = None, version: int | None = None) -> list[str]:
+        """Folders of the saves that hold, of all models or one, all versions or one."""
+        out = []
+        for m in self.models() if model is None else [model]:
+            for v in self.versions(m) if version is None else [version]:
+                numbers = [n for n in names_in(self.spark, self._at("commits", m, v)) if n.isdigit()]
+                if numbers:
+                    out.append(f"{self._at('data', m, v)}/{text_of(self.spark, f'{self._at('commits', m, v)}/{max(numbers, key=int)}')}")
+        return out
+
+    def _table(self, part: str, schema: str, saves: list[str]) -> DataFrame:
+        paths = [f"{s}/{part}" for s in saves if part in names_in(self.spark, s)]
+        return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
-    def params(self) -> DataFrame:
-        return self._table("params", PARAM_SCHEMA)
+    def params(self, model: str | None = None, version: int | None = None) -> DataFrame:
+        """The parameter tables of all committed versions, or of those of one model, or of one version."""
+        return self._table("params", PARAM_SCHEMA, self._saves(model, version))
 
-    def histories(self) -> DataFrame:
-        return self._table("history", HISTORY_SCHEMA)
+    def histories(self, model: str | None = None, version: int | None = None) -> DataFrame:
+        return self._table("history", HISTORY_SCHEMA, self._saves(model, version))
 
     def current_version(self, model: str) -> int:
-        """The highest saved version, 0 if none."""
-        return self.params().where(F.col("model") == model).agg(F.coalesce(F.max("version"), F.lit(0)).alias("v")).first().v
+        """The highest committed version, 0 if none."""
+        return max(self.versions(model), default=0)
+
+    def _claimed(self, model: str) -> int:
+        """A version above all others, which no other writer gets."""
+        taken = [int(v) for v in names_in(self.spark, self._at("claims", model))]
+        version = max([self.current_version(model), *taken]) + 1
+        while not claim(self.spark, self._at("claims", model, version)):
+            version += 1
+        return version
 
     def save(self, model: str, params: Params, overwrite: bool | int = True, history: list[tuple] | None = None) -> int:
-        """Write the parameters (and trace). overwrite=True replaces the latest version, False adds one after it, a
-        whole number replaces just that version; other versions stay. Returns the version."""
-        if isinstance(overwrite, bool):
-            latest = self.current_version(model)
-            version = max(1, latest) if overwrite else latest + 1
-        elif isinstance(overwrite, int):
-            version = overwrite
-        else:
+        """Save the parameters (and trace). overwrite=True replaces the latest version, False adds one after it, a
+        whole number replaces just that version; other versions stay. Returns the version.
+
+        The tables are written first; one small file then makes the save visible as a whole. Writers that replace a
+        version at once leave that of the later commit; writers that add one get a version each."""
+        if not isinstance(overwrite, int):
             raise TypeError("overwrite must be True, False or a version")
+        if overwrite is False or (overwrite is True and not self.versions(model)):
+            version = self._claimed(model)
+        else:
+            version = self.current_version(model) if overwrite is True else overwrite
         if version < 1:
             raise ValueError("versions start at 1")
-        self._write("params", to_frame(self.spark, params, model, version))
+        tables = {"params": to_frame(self.spark, params, model, version)}
         if history:
-            rows = self.spark.createDataFrame([(model, version, *r) for r in history], HISTORY_SCHEMA)
-            self._write("history", rows)
+            tables["history"] = self.spark.createDataFrame([(model, version, *r) for r in history], HISTORY_SCHEMA)
+        self._commit(model, version, tables)
         return version
 
-    def _write(self, part: str, rows: DataFrame) -> None:
-        writer = rows.coalesce(1).write.partitionBy("model", "version").mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        writer.parquet(f"{self.path}/{part}")
+    def _commit(self, model: str, version: int, tables: dict[str, DataFrame]) -> None:
+        own, commits = uuid.uuid4().hex, self._at("commits", model, version)
+        for part, rows in tables.items():
+            rows.coalesce(1).write.parquet(f"{self._at('data', model, version)}/{own}/{part}")
+        claim(self.spark, self._at("claims", model, version))
+        number = max([int(n) for n in names_in(self.spark, commits) if n.isdigit()], default=0) + 1
+        while not claim(self.spark, f"{commits}/{number}", own):
+            number += 1
 
     def load(self, model: str, version: int | None = None) -> Params:
         """Parameters of a version, or of the latest; ValueError if there is none."""
         version = self.current_version(model) if version is None else version
-        rows = self.params().where((F.col("model") == model) & (F.col("version") == version))
-        if rows.isEmpty():
+        return from_frame(self._known(model, version))
+
+    def _known(self, model: str, version: int) -> DataFrame:
+        if not self._saves(model, version):
             raise ValueError(f"no version {version} of {model}")
-        return from_frame(rows)
+        return self.params(model, version)
 
     def architecture(self, model: str, version: int) -> list[int]:
         """Layer widths from the table alone."""
-        rows = self.params().where((F.col("model") == model) & (F.col("version") == version) & (F.col("kind") == "w"))
+        rows = self._known(model, version).where("kind = 'w'")
         sizes = rows.groupBy("layer").agg((F.max("i") + 1).alias("a"), (F.max("j") + 1).alias("b")).orderBy("layer").collect()
-        if not sizes:
-            raise ValueError(f"no version {version} of {model}")
         return [sizes[0].a, *(r.b for r in sizes)]
 
     def clear(self, model: str, versions: list[int] | None = None) -> None:
-        """Remove the given versions, or all: each is a folder of its own, and no other one is touched."""
-        for part in ("params", "history"):
-            fs, root = _fs(self.spark, f"{self.path}/{part}")
-            found = fs.listStatus(root) if fs.exists(root) else []
-            for folder in [f.getPath() for f in found if unquote(f.getPath().getName()) == f"model={model}"]:
-                if versions is None:
-                    fs.delete(folder, True)
-                    continue
-                for v in versions:
-                    _, path = _fs(self.spark, f"{folder.toString()}/version={int(v)}")
-                    fs.delete(path, True)
+        """Remove the given versions, or all: each is a folder of its own, and no other one is touched. A version is
+        withdrawn before its tables go."""
+        for part in ("commits", "data", "claims"):
+            for path in [self._at(part, model)] if versions is None else [self._at(part, model, int(v)) for v in versions]:
+                remove(self.spark, path)
+
+    def tidy(self, model: str) -> None:
+        """Remove the tables of saves that were replaced or broke off. No save may be under way."""
+        for version in names_in(self.spark, self._at("data", model)):
+            held = set(self._saves(model, int(version)))
+            for save in names_in(self.spark, self._at("data", model, int(version))):
+                path = f"{self._at('data', model, int(version))}/{save}"
+                if path not in held:
+                    remove(self.spark, path)
 
     def export_text(self, model: str, version: int, path: str) -> None:
         """Parameters as CSV, one value per line in long form."""
-        self.params().where((F.col("model") == model) & (F.col("version") == version)).orderBy("layer", "kind", "i", "j").coalesce(1).write.csv(path, header=True)
+        self._known(model, version).orderBy("layer", "kind", "i", "j").coalesce(1).write.csv(path, header=True)
 
     def next_name(self) -> str:
-        return f"model{next_free(self.params().select(F.col('model').alias('name')))}.model"
+        names = self.spark.createDataFrame([(m,) for m in self.models()], "name string")
+        return f"model{next_free(names)}.model"
 
 
 def model_file_name(name: str | None, used: DataFrame | None = None) -> str:
