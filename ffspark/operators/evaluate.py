@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark.ml.evaluation import Evaluator
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ffspark.functions.activations import sample_cost
 from ffspark.functions.params import Params
 from ffspark.operators.forward import Shipped, layer_values, matrix
 
@@ -15,7 +18,7 @@ from ffspark.operators.forward import Shipped, layer_values, matrix
 def evaluation_cost(df: DataFrame, params: Params) -> DataFrame:
     """One row: the mean of all squared differences of labels and outputs, and the number of samples. The tasks hand on
     one sum for each batch."""
-    shipped = Shipped(df.sparkSession, params)
+    shipped = Shipped(df.sparkSession, params).lend()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shipped.get()
@@ -33,3 +36,14 @@ def class_counts(scored: DataFrame, n_classes: int) -> DataFrame:
     found = scored.groupBy("class").agg(F.count(F.lit(1)).alias("n"))
     every = scored.sparkSession.range(n_classes).select(F.col("id").cast("int").alias("class"))
     return every.join(found, "class", "left").select("class", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+
+
+class CostEvaluator(Evaluator, DefaultParamsWritable, DefaultParamsReadable):
+    """The mean of all squared differences of ``labels`` and ``output`` of scored samples, for model selection: less is
+    better."""
+
+    def _evaluate(self, dataset: DataFrame) -> float:
+        return dataset.agg(F.avg(sample_cost("labels", "output") / F.size("labels"))).first()[0]
+
+    def isLargerBetter(self) -> bool:
+        return False

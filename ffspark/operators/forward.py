@@ -20,6 +20,11 @@ from ffspark.functions.params import Params
 CLOSURE_BYTES = 1 << 20
 
 
+#: Broadcast parameters that lazy results may still need; of those before them the executors' copies are dropped.
+HELD = 4
+_held: list = []
+
+
 class Shipped:
     """Parameters on their way to the tasks."""
 
@@ -35,6 +40,15 @@ class Shipped:
         if self.shared is not None:
             self.shared.destroy()
 
+    def lend(self) -> Shipped:
+        """For a result that is computed later: only the last ``HELD`` stay on the executors; a job on an older one fetches
+        its copy again."""
+        if self.shared is not None:
+            _held.append(self.shared)
+            while len(_held) > HELD:
+                _held.pop(0).unpersist()
+        return self
+
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Rows of a list column of equal widths and no nulls."""
@@ -98,7 +112,7 @@ def transform(df: DataFrame, params: Params, layers: str | int | None = None, en
         return _transform_expr(df, params, layers, upto, column)
     if engine != "arrow":
         raise ValueError("engine must be arrow or expr")
-    shipped = Shipped(df.sparkSession, params)
+    shipped = Shipped(df.sparkSession, params).lend()
     new = [c for c in ("pre", "act")] if layers == "all" else ["output"]
     kept = [c for c in df.columns if c not in new]
     source = df.select(*kept)

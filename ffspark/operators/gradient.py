@@ -65,9 +65,13 @@ def partials(df: DataFrame, shipped: Shipped) -> DataFrame:
     return source.mapInArrow(run, PARTIAL)
 
 
-def is_wide(df: DataFrame) -> bool:
-    """More partitions with rows than whose partial sums the driver takes one by one."""
-    return df.select(F.spark_partition_id().alias("p")).distinct().count() > DIRECT_PARTIALS
+def levels(df: DataFrame) -> int:
+    """How often partial sums must be grouped until the driver gets ``DIRECT_PARTIALS`` rows at most; 0 if it takes those of
+    the partitions one by one."""
+    parts, out = (df.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1, 0
+    while parts > DIRECT_PARTIALS:
+        parts, out = -(-parts // FAN_IN), out + 1
+    return out
 
 
 def _sum_group(table: pa.Table) -> pa.Table:
@@ -76,16 +80,28 @@ def _sum_group(table: pa.Table) -> pa.Table:
     return pa.table({"part": table.column("part")[:1], "n": [sum(table.column("n").to_pylist())], "cost": [float(np.sum(table.column("cost").to_numpy()))], "grad": [grad]})
 
 
-def mean_gradient(df: DataFrame, params: Params, wide: bool = True) -> Gradient:
+def summed_in_groups(rows: DataFrame, depth: int) -> DataFrame:
+    """Partial rows added up over groups of ``FAN_IN`` partitions, then over groups of groups, ``depth`` times in all."""
+    for level in range(1, depth + 1):
+        rows = rows.groupBy(F.floor(F.col("part") / FAN_IN**level).alias("g")).applyInArrow(_sum_group, PARTIAL)
+    return rows
+
+
+def is_wide(df: DataFrame) -> bool:
+    """More partitions than whose partial sums the driver takes one by one."""
+    return levels(df) > 0
+
+
+def mean_gradient(df: DataFrame, params: Params, wide: bool | int = True) -> Gradient:
     """Mean gradient and cost over all samples of ``df``, weighted by ``mult`` if there is such a column.
 
     Only partial sums reach the driver, and they are added in partition order, so a fixed partitioning gives the same
-    floats again. They are first summed in groups of partitions, unless ``is_wide`` has found that they are few.
+    floats again. They are first summed in groups of partitions, and those in groups again, as often as ``levels`` finds;
+    ``wide`` False does without, and a number says how often where the caller knows.
     """
+    depth = levels(df) if wide is True else int(wide)
     shipped = Shipped(df.sparkSession, params)
-    rows = partials(df, shipped)
-    if wide:
-        rows = rows.groupBy(F.floor(F.col("part") / FAN_IN).alias("g")).applyInArrow(_sum_group, PARTIAL)
+    rows = summed_in_groups(partials(df, shipped), depth)
     found = sorted(rows.collect(), key=lambda r: r.part)
     shipped.close()
     if not found:
@@ -97,7 +113,7 @@ def mean_gradient(df: DataFrame, params: Params, wide: bool = True) -> Gradient:
 
 def sample_gradients(df: DataFrame, params: Params) -> DataFrame:
     """sample_id, cost and the flat gradient of every sample by itself, in batches of about ``SLICE_BYTES``."""
-    shipped = Shipped(df.sparkSession, params)
+    shipped = Shipped(df.sparkSession, params).lend()
     rows = max(1, SLICE_BYTES // (8 * len(params.flat())))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

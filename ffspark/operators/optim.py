@@ -11,12 +11,12 @@ class Momentum:
     """delta = eta * g + gamma * delta; p -= delta. Used by full-batch and single-sample descent."""
 
     def __init__(self, layers: list[int], eta: float = 0.005, gamma: float = 0.9):
-        self.eta, self.gamma, self.delta = eta, gamma, zeros(layers)
+        self.eta, self.gamma, self.state = eta, gamma, zeros(layers)
 
     def step(self, params: Params, grad: Params) -> float:
         """Update in place; returns the mean effective rate, over layers of weights, taken after delta's update."""
         rates = []
-        for p, g, d, is_weight in _together(params, grad, self.delta):
+        for p, g, d, is_weight in _together(params, grad, self.state):
             d[...] = self.eta * g + self.gamma * d
             p -= d
             if is_weight:
@@ -29,11 +29,11 @@ class RMSprop:
     no part in it."""
 
     def __init__(self, layers: list[int], rate: float = 0.001, gamma: float = 0.9):
-        self.rate, self.gamma, self.r = rate, gamma, zeros(layers)
+        self.rate, self.gamma, self.state = rate, gamma, zeros(layers)
 
     def step(self, params: Params, grad: Params) -> float:
         rates = []
-        for p, g, r, is_weight in _together(params, grad, self.r):
+        for p, g, r, is_weight in _together(params, grad, self.state):
             r[...] = (1 - self.gamma) * g**2 + self.gamma * r
             p -= self.rate / (np.sqrt(r) + 0.001) * g
             if is_weight:
