@@ -14,6 +14,7 @@ from ffspark.operators.estimator import FeedForwardClassifier, best_cost
 from ffspark.operators.evaluate import class_counts, evaluation_cost
 from ffspark.operators.forward import dense, transform
 from ffspark.operators.gradient import mean_gradient, sample_gradients
+from ffspark.operators.long_form import dense_long, forward_long, sample_runs
 from ffspark.operators.sinks import classify, classify_with
 from ffspark.plans import fixtures as fx
 from ffspark.plans import oracle as sql
@@ -87,6 +88,27 @@ def q_dense_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(dense(fx.embeddings(spark, sf_dir).select("sample_id", "features"), p.weights[0], p.biases[0]), "z")
 
 
+def _saved_params(spark: SparkSession) -> DataFrame:
+    """The fixed parameters of the embeddings' network as a committed table of a registry."""
+    reg = ModelRegistry(spark, scratch_path(spark, "registry"))
+    reg.save("fixed", fixed_params(EMB))
+    return reg.params("fixed")
+
+
+def _long_rows(df: DataFrame, column: str) -> DataFrame:
+    return df.select("sample_id", F.col("j").cast("int").alias("j"), r6(F.col(column)))
+
+
+def q_dense_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dense layer whose weights stay a table, in tiles of 16 x 16."""
+    d = fx.embeddings(spark, sf_dir).select("sample_id", "features")
+    return _long_rows(dense_long(sample_runs(d, block=16), _saved_params(spark), 1, d.count(), block=16), "z")
+
+
+def q_forward_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long_rows(forward_long(fx.embeddings(spark, sf_dir), _saved_params(spark)), "output")
+
+
 def q_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return long_form(transform(fx.embeddings(spark, sf_dir).select("sample_id", "features"), fixed_params(EMB)), "output")
 
@@ -156,6 +178,16 @@ def q_gradient_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("sample_id", (F.round("cost", 6) + F.lit(0.0)).alias("cost"), (F.round(length, 6) + F.lit(0.0)).alias("length"))
 
 
+def q_gradient_each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole gradient of every sample by itself."""
+    g = sample_gradients(fx.documents(spark, sf_dir), fixed_params(DOC)).select("sample_id", F.posexplode("grad").alias("at", "v"))
+    places, at = [], 0
+    for l, (a, b) in enumerate(zip(DOC, DOC[1:]), 1):
+        places += [(at + i * b + j, l, "w", i, j) for i in range(a) for j in range(b)] + [(at + a * b + j, l, "b", 0, j) for j in range(b)]
+        at += a * b + b
+    return g.join(spark.createDataFrame(places, "at int, layer int, kind string, i int, j int"), "at").select("sample_id", "layer", "kind", "i", "j", r6(F.col("v")))
+
+
 # training
 
 
@@ -214,6 +246,13 @@ def q_fit_time_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_fit_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit that stopped after one iteration and goes on from its log to the second."""
+    log = scratch_path(spark, "fit-log")
+    _fit_drawn(spark, sf_dir, "mini_b", 1, log_to=log, log_every=1)
+    return param_rows(spark, _fit_drawn(spark, sf_dir, "mini_b", 2, log_to=log, log_every=1).network)
+
+
 SEED = 5
 
 
@@ -296,9 +335,9 @@ def q_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = [
-    q_samples_long, q_validate, q_widths, q_relu_sigmoid, q_dense_layer, q_forward, q_forward_expr, q_forward_layers, q_forward_upto, q_sample_cost, q_eval_cost,
-    q_classify, q_class_manifest, q_class_counts, q_gradient_batch, q_gradient_multihot, q_gradient_minibatch, q_gradient_one, q_fit_batch_3, q_fit_minibatch_2,
-    q_fit_stochastic_3, q_history, q_best_cost, q_fit_threshold, q_fit_time_limit, q_fit_seeded, q_init_scale, q_registry_latest, q_registry_clear, q_params_roundtrip, q_next_name,
+    q_samples_long, q_validate, q_widths, q_relu_sigmoid, q_dense_layer, q_dense_long, q_forward, q_forward_long, q_forward_expr, q_forward_layers, q_forward_upto, q_sample_cost, q_eval_cost,
+    q_classify, q_class_manifest, q_class_counts, q_gradient_batch, q_gradient_multihot, q_gradient_minibatch, q_gradient_one, q_gradient_each, q_fit_batch_3, q_fit_minibatch_2,
+    q_fit_stochastic_3, q_history, q_best_cost, q_fit_threshold, q_fit_time_limit, q_fit_seeded, q_fit_resumed, q_init_scale, q_registry_latest, q_registry_clear, q_params_roundtrip, q_next_name,
     q_classify_saved, q_stream_scores, q_series,
 ]
 
@@ -335,6 +374,14 @@ def oracle_sql() -> dict[str, str]:
     )
     series_x = f"x AS MATERIALIZED (SELECT u AS sid, d AS i, count(e.ts)::DOUBLE AS v FROM (SELECT DISTINCT user_id AS u FROM events WHERE ts >= DATE '{fx.FIRST_DAY}' AND ts < DATE '{fx.FIRST_DAY}' + {fx.DAYS}) CROSS JOIN range({fx.DAYS}) t(d) LEFT JOIN events e ON e.user_id = u AND e.ts::DATE = DATE '{fx.FIRST_DAY}' + d::INT GROUP BY 1, 2)"
     shifted = "value / 50 - 1"
+    each = " UNION ALL ".join(
+        x
+        for l in (1, 2)
+        for x in (
+            f"SELECT d.sid AS sample_id, {l}::INT AS layer, 'w' AS kind, p.i::INT AS i, d.j::INT AS j, {r6('p.v * d.v')} AS value FROM {'x' if l == 1 else 'a1_0'} p JOIN d{l}_0 d ON p.sid = d.sid",
+            f"SELECT sid, {l}::INT, 'b', 0::INT, j::INT, {r6('v')} FROM d{l}_0",
+        )
+    )
     return {
         "q_samples_long": sql.query(sql.samples("embeddings"), f"SELECT sid AS sample_id, i::INT AS i, {r6('v')} AS value, 'x' AS part FROM x UNION ALL SELECT sid, j::INT, {r6('v')}, 'y' FROM y"),
         "q_validate": """SELECT doc_id AS sample_id, CASE WHEN doc_id % 11 = 0 THEN 'features is null' WHEN doc_id % 7 = 0 THEN 'features has width 1, not 2' ELSE 'features has a null' END AS reason
@@ -343,7 +390,9 @@ def oracle_sql() -> dict[str, str]:
         "q_relu_sigmoid": f"""SELECT event_id, {r6('CASE WHEN x < 0 THEN 0.0 ELSE x END')} AS relu, {r6('CASE WHEN x < 0 THEN 0.0 ELSE 1.0::DOUBLE END')} AS relu_d, {r6('1 / (1 + exp(-x))')} AS sigmoid,
             {r6('1 / (1 + exp(-x)) * (1 - 1 / (1 + exp(-x)))')} AS sigmoid_d FROM (SELECT event_id, {shifted} AS x FROM events)""",
         "q_dense_layer": sql.query(emb, out("z1_0")),
+        "q_dense_long": sql.query(emb, out("z1_0")),
         "q_forward": sql.query(emb, out("a2_0")),
+        "q_forward_long": sql.query(emb, out("a2_0")),
         "q_forward_expr": sql.query(ev, out("a2_0")),
         "q_forward_layers": sql.query(deep, " UNION ALL ".join(f"SELECT z.sid AS sample_id, {l}::INT AS layer, z.i::INT AS j, {r6('z.v')} AS pre, {r6('a.v')} AS act FROM z{l}_0 z JOIN a{l}_0 a ON z.sid = a.sid AND z.i = a.i" for l in (1, 2, 3))),
         "q_forward_upto": sql.query(deep, out("a2_0")),
@@ -356,8 +405,10 @@ def oracle_sql() -> dict[str, str]:
         "q_gradient_multihot": sql.query(sql.samples("documents") + sql.fixed_params(DOC) + sql.gradient(DOC), sql.param_rows(DOC, 0, "g")),
         "q_gradient_minibatch": sql.query(_drawn_fit(1, BATCH, sql.rmsprop), sql.param_rows(EMB, 0, "g")),
         "q_gradient_one": sql.query(sql.samples("events") + sql.fixed_params(EV) + one, f"SELECT c.sid AS sample_id, {r6('c.cost')} AS cost, {r6('sqrt(s.s)')} AS length FROM (SELECT a.sid, sum((y.v - a.v) * (y.v - a.v)) AS cost FROM a2_0 a JOIN y ON a.sid = y.sid AND a.i = y.j GROUP BY 1) c JOIN (SELECT sid, sum(s) AS s FROM ({lengths}) GROUP BY 1) s ON s.sid = c.sid"),
+        "q_gradient_each": sql.query(sql.samples("documents") + sql.fixed_params(DOC) + sql.gradient(DOC), each),
         "q_fit_batch_3": sql.query(_batch_fit(3), sql.param_rows(LI, 3)),
         "q_fit_minibatch_2": sql.query(_drawn_fit(2, BATCH, sql.rmsprop), sql.param_rows(EMB, 2)),
+        "q_fit_resumed": sql.query(_drawn_fit(2, BATCH, sql.rmsprop), sql.param_rows(EMB, 2)),
         "q_fit_stochastic_3": sql.query(_drawn_fit(3, 1, sql.momentum), sql.param_rows(EMB, 3)),
         "q_history": sql.query(_drawn_fit(2, BATCH, sql.rmsprop), " UNION ALL ".join(f"SELECT {k}::INT AS iter, {r6(f'(SELECT v FROM cost_{k})')} AS cost, {r6(f'(SELECT v FROM rate_{k})')} AS l_rate" for k in range(2))),
         "q_best_cost": sql.query(_batch_fit(3), f"SELECT iter, {r6('cost')} AS cost, {r6('min(cost) OVER (ORDER BY iter)')} AS best, {r6('rate')} AS l_rate FROM (" + " UNION ALL ".join(f"SELECT {k}::INT AS iter, (SELECT v FROM cost_{k}) AS cost, (SELECT v FROM rate_{k}) AS rate" for k in range(3)) + ")"),
