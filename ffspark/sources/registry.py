@@ -132,7 +132,8 @@ class ModelRegistry:
 
     def export_text(self, model: str, version: int, path: str) -> None:
         """Parameters as CSV, one value per line in long form."""
-        self._known(model, version).orderBy("layer", "kind", "i", "j").coalesce(1).write.csv(path, header=True)
+        rows = self._known(model, version).select("layer", "kind", "i", "j", "value", "model", "version")
+        rows.orderBy("layer", "kind", "i", "j").coalesce(1).write.csv(path, header=True)
 
     def next_name(self) -> str:
         names = self.spark.createDataFrame([(m,) for m in self.models()], "name string")
