@@ -2,15 +2,15 @@
 
 1. A frequency-pruned dictionary of grams: all grams of ``QMIN`` code points, and a longer one (up to ``QMAX``) where the
    gram that it extends is too frequent and it is frequent enough itself.
-2. Every word is decomposed: at each place stands the longest gram of the dictionary that fits. A gram there can change
-   only if the edit touches the span that a longer gram of the dictionary with the same beginning would cover; so for each
-   cut of a word the edit leaves all grams before it or all grams behind it as they are.
-3. That bound says which lists must be merged: a partner of a word stands on all lists left of the cut (at the same places)
-   or on all lists right of it (at the same places from the end). The cut is chosen by the frequencies of the grams on both
-   sides. Merging all of a side's lists is one equality of a 64-bit digest of its grams, so it is a join.
+2. Every word is decomposed: at each place stands the longest gram of the dictionary that fits. An edit can affect the gram
+   at a place only if it touches the span that the longest gram of the dictionary with the same beginning would cover.
+3. These bounds say which lists must be merged. A word's three grams with spans apart, chosen for short lists, lose one at
+   most to an edit, so a partner stands on at least two of the three lists, at the same places or moved by the edit: the
+   index holds pairs of grams, and merging is a join on them. Words that have no three such grams (of seven code points),
+   or are very long, use all grams before a cut and all grams behind it instead: a partner stands on all lists of a side.
 4. Each pair found is verified once by its edit distance.
 
-Grams, digests and their order only propose pairs; a collision costs a comparison, never a result.
+Grams and digests only propose pairs; a collision costs a comparison, never a result.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from pyspark.sql import functions as F
 from ffspark.llm.shared import discard, fold_ascii, lookup, materialise
 from ffspark.llm.shingles import mix
 
-#: With these, every word of ``MIN_LENGTH`` code points or more has a cut with grams on both sides.
-QMIN, QMAX, MIN_LENGTH = 2, 5, 7
+#: With these, every word of ``MIN_LENGTH`` code points or more has a cut with grams on both sides, and every longer one three
+#: grams with spans apart.
+QMIN, QMAX, MIN_LENGTH = 2, 3, 7
+#: Longer words have their sides in the index instead of pairs, whose number is quadratic in the length.
+LONG = 24
 #: A gram is extended above the (total of places / PARTS) occurrences, by grams with at least a tenth of that: so no more
 #: than (QMAX - QMIN + 1) x 10 x PARTS grams come to the driver and go to the tasks, however many words there are.
 PARTS, FRACTION = 20_000, 10
@@ -106,32 +109,69 @@ def gram_dictionary(words: DataFrame, parts: int = PARTS) -> Grams:
     return Grams(code, places, reach, extends)
 
 
-class Sides(NamedTuple):
-    """Of words of one length, at each place: digests of the grams up to it and from it on, the place behind all that the
-    former may touch, and for each word the best cut: its last gram on the left and its first on the right."""
+class Parts(NamedTuple):
+    """The grams of words of one length at each place: their packed form, their span, and how many places they have."""
 
-    left: np.ndarray
-    right: np.ndarray
-    behind: np.ndarray
-    last: np.ndarray
-    first: np.ndarray
+    code: np.ndarray
+    reach: np.ndarray
+    places: np.ndarray
 
 
-def decompose(points: np.ndarray, grams: Grams) -> Sides:
+def decompose(points: np.ndarray, grams: Grams) -> Parts:
     rows, size = points.shape
     n = size - QMIN + 1
     code = _packed(points, QMIN)
     reach, places = np.full((rows, n), QMIN, np.int64), np.zeros((rows, n), np.int64)
-    for q in range(QMIN, min(QMAX, size) + 1):
+    for q in range(QMIN, min(QMAX, size) + 1) if len(grams.code) else ():
         here = _packed(points, q)
-        at = np.minimum(np.searchsorted(grams.code, here), max(0, len(grams.code) - 1))
-        hit = (grams.code[at] == here) & (grams.longer[at] | (q == QMIN)) if len(grams.code) else np.zeros(here.shape, bool)
+        at = np.minimum(np.searchsorted(grams.code, here), len(grams.code) - 1)
+        hit = (grams.code[at] == here) & (grams.longer[at] | (q == QMIN))
         m = here.shape[1]
-        code[:, :m] = np.where(hit, here, code[:, :m])
-        reach[:, :m] = np.where(hit, grams.reach[at], reach[:, :m]) if len(grams.code) else reach[:, :m]
-        places[:, :m] = np.where(hit, grams.places[at], places[:, :m]) if len(grams.code) else places[:, :m]
-    behind = np.maximum.accumulate(np.arange(n) + reach, axis=1)
-    unsigned = code.astype(np.uint64)
+        for out, new in ((code, here), (reach, grams.reach[at]), (places, grams.places[at])):
+            out[:, :m] = np.where(hit, new, out[:, :m])
+    return Parts(code, reach, places)
+
+
+def triples(parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+    """Three places of each word whose grams have spans apart, those with the shortest lists by their frequencies, and which
+    words have any."""
+    rows, n = parts.code.shape
+    f, at = parts.places.astype(float) + 1, np.arange(rows)
+    low, low_at = np.full((rows, n), np.inf), np.zeros((rows, n), np.int64)  # of the grams whose span ends before a place
+    for p in range(1, n):
+        low[:, p], low_at[:, p] = low[:, p - 1], low_at[:, p - 1]
+        for r in range(QMIN, min(QMAX, p) + 1):
+            better = (parts.reach[:, p - r] == r) & (f[:, p - r] < low[:, p])
+            low[:, p] = np.where(better, f[:, p - r], low[:, p])
+            low_at[:, p] = np.where(better, p - r, low_at[:, p])
+    high, high_at = np.full((rows, n + QMAX + 1), np.inf), np.zeros((rows, n + QMAX + 1), np.int64)  # of the grams from a place on
+    for p in range(n - 1, -1, -1):
+        better = f[:, p] <= high[:, p + 1]
+        high[:, p] = np.where(better, f[:, p], high[:, p + 1])
+        high_at[:, p] = np.where(better, p, high_at[:, p + 1])
+    after = np.arange(n) + parts.reach
+    third, third_at = np.take_along_axis(high, after, 1), np.take_along_axis(high_at, after, 1)
+    with np.errstate(invalid="ignore"):
+        cost = np.where(np.isinf(low) | np.isinf(third), np.inf, low * f + low * third + f * third)
+    mid = np.argmin(cost, axis=1)
+    return np.stack((low_at[at, mid], mid, third_at[at, mid]), axis=1), np.isfinite(cost[at, mid])
+
+
+class Sides(NamedTuple):
+    """At each place: digests of the grams up to it and from it on, the place behind all spans of the former, and for each
+    word the best cut: its last gram on the left and its first on the right."""
+
+    left: np.ndarray
+    right: np.ndarray
+    behind: np.ndarray
+    last: np.ndarray
+    first: np.ndarray
+
+
+def sides(parts: Parts) -> Sides:
+    rows, n = parts.code.shape
+    behind = np.maximum.accumulate(np.arange(n) + parts.reach, axis=1)
+    unsigned = parts.code.astype(np.uint64)
     left, right = np.empty((rows, n), np.uint64), np.empty((rows, n), np.uint64)
     state = np.zeros(rows, np.uint64)
     for p in range(n):
@@ -141,7 +181,7 @@ def decompose(points: np.ndarray, grams: Grams) -> Sides:
     for p in range(n - 1, -1, -1):
         state = mix((state ^ unsigned[:, p]) + np.uint64(2))
         right[:, p] = state
-    fewest, later = np.minimum.accumulate(places, axis=1), np.minimum.accumulate(places[:, ::-1], axis=1)[:, ::-1]
+    fewest, later = np.minimum.accumulate(parts.places, axis=1), np.minimum.accumulate(parts.places[:, ::-1], axis=1)[:, ::-1]
     cut = np.minimum(behind, n - 1)
     halved = 0.5 ** np.minimum(np.arange(n), 1000)
     cost = (fewest + 1) * halved[None, :] + (np.take_along_axis(later, cut, 1) + 1) * halved[n - 1 - cut]
@@ -149,46 +189,99 @@ def decompose(points: np.ndarray, grams: Grams) -> Sides:
     return Sides(left, right, behind, last, behind[np.arange(rows), last])
 
 
-def _key(digest: np.ndarray, size: int) -> np.ndarray:
+def _side_key(digest: np.ndarray, size: int) -> np.ndarray:
     """A digest of a side's grams with the length of the words that it is looked for among."""
     return mix(digest + np.uint64(size)).view(np.int64)
 
 
+def _pair_key(parts: Parts, rows: np.ndarray, p: np.ndarray, q: np.ndarray, size: int, moved_p: int = 0, moved_q: int = 0) -> np.ndarray:
+    """A digest of two grams with their places in a word of ``size``, which an edit may have moved."""
+    one, two = parts.code[rows, p].astype(np.uint64), parts.code[rows, q].astype(np.uint64)
+    place = ((p + moved_p) * 4096 + (q + moved_q)).astype(np.uint64) * np.uint64(4096) + np.uint64(size)
+    return mix(mix(mix(one + np.uint64(3)) ^ two) ^ place).view(np.int64)
+
+
+def _index(ids: np.ndarray, parts: Parts, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    n = parts.code.shape[1]
+    if size <= LONG + 1:
+        for p in range(n):
+            for q in range(p + QMIN, n):
+                rows = np.flatnonzero(p + parts.reach[:, p] <= q)
+                yield _pair_key(parts, rows, np.full(len(rows), p), np.full(len(rows), q), size), ids[rows]
+    if size <= MIN_LENGTH + 1 or size > LONG:
+        s = sides(parts)
+        fits, all_ids = s.behind <= n - 1, np.broadcast_to(ids[:, None], s.left.shape)
+        yield _side_key(s.left[fits], size), all_ids[fits]
+        yield _side_key(s.right[:, QMIN:].ravel(), size), all_ids[:, QMIN:].ravel()
+
+
+def _probes(ids: np.ndarray, parts: Parts, size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What partners of the same length, or longer by one, must have: the third gram moves if the edit comes before it."""
+    chosen, found = triples(parts)
+    if size > LONG:
+        found[:] = False
+    rows = np.flatnonzero(found)
+    a, b, c = chosen[rows].T
+    for p, q, moves in ((a, b, (0, 0)), (b, c, (1, 1)), (a, c, (0, 1))):
+        yield _pair_key(parts, rows, p, q, size), ids[rows]
+        yield _pair_key(parts, rows, p, q, size + 1, *moves), ids[rows]
+    if not found.all():
+        rest = np.flatnonzero(~found)
+        s = sides(Parts(*(x[rest] for x in parts)))
+        at = np.arange(len(rest))
+        for own in (s.left[at, s.last], s.right[at, s.first]):
+            for target in (size, size + 1):
+                yield _side_key(own, target), ids[rest]
+
+
+def _bag(points: np.ndarray) -> np.ndarray:
+    """A bit for each code point (modulo 64) that a word has an odd number of times: an edit changes two at most."""
+    return np.bitwise_xor.reduce(np.left_shift(np.uint64(1), points.astype(np.uint64) % np.uint64(64)), axis=1).view(np.int64)
+
+
 def lists(words: DataFrame, grams: Grams, probe: bool) -> DataFrame:
-    """key, id. The index has all sides of every word; ``probe`` gives those of each word's own cut that its partners of the
-    same length, or longer by one, must have."""
+    """key, id, bag: the index of the words (id, word), or what is looked up in it for each of them."""
     shipped = words.sparkSession.sparkContext.broadcast(grams)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, points in _matrices(batches):
-            size = points.shape[1]
-            s = decompose(points, shipped.value)
-            at = np.arange(len(ids))
-            if probe:
-                sides = [(x, ids) for own in (s.left[at, s.last], s.right[at, s.first]) for x in (_key(own, size), _key(own, size + 1))]
-            else:
-                fits = s.behind <= size - QMIN
-                all_ids = np.broadcast_to(ids[:, None], s.left.shape)
-                sides = [(_key(s.left[fits], size), all_ids[fits]), (_key(s.right[:, QMIN:].ravel(), size), all_ids[:, QMIN:].ravel())]
-            for key, own in sides:
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(own)], names=["key", "id"])
-
-    return words.select("id", "word").mapInArrow(run, "key long, id long")
+        for batch in batches:
+            places = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(1)], names=["at", "word"])
+            for at, points in _matrices(iter([places])):
+                parts, bag = decompose(points, shipped.value), np.zeros(batch.num_rows, np.int64)
+                bag[at] = _bag(points)
+                for key, own in (_probes if probe else _index)(at, parts, points.shape[1]):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0).take(pa.array(own)), pa.array(bag[own])], names=["key", "id", "bag"])
+
+    kind = words.schema["id"].dataType.simpleString()
+    return words.select("id", "word").mapInArrow(run, f"key long, id {kind}, bag long")
+
+
+def _met(prober: DataFrame, indexed: DataFrame, grams: Grams) -> DataFrame:
+    """a, b: ids that share a key, but for pairs whose bags of code points are more than an edit apart."""
+    of = lambda df, x: df.select("key", F.col("id").alias(x), F.col("bag").alias(f"bag_{x}"))
+    pairs = of(lists(prober, grams, True), "a").join(of(lists(indexed, grams, False), "b"), "key")
+    return pairs.where((F.bit_count(F.col("bag_a").bitwiseXOR(F.col("bag_b"))) <= 2) & (F.col("a") != F.col("b"))).select("a", "b")
 
 
 def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
-    """a, b, word_a, word_b, n_a, n_b of all pairs of the words (id, word, n) that differ by exactly one inserted, deleted or
-    replaced code point, each once. ``words`` must be a written table of distinct words of ``MIN_LENGTH`` or more."""
+    """a, b, n_a, n_b of all pairs of the words (id, word, n) that differ by exactly one inserted, deleted or replaced code
+    point, each once. ``words`` must be a written table of distinct words of ``MIN_LENGTH`` or more.
+
+    Words up to ``LONG`` code points travel with their keys and are verified where they meet; longer ones, which have a key
+    for every place, travel as ids."""
     grams = gram_dictionary(words, parts)
-    index, probe = lists(words, grams, False), lists(words, grams, True)
-    met = probe.withColumnRenamed("id", "a").join(index.withColumnRenamed("id", "b"), "key").where("a <> b").select("a", "b")
-    pairs = materialise(met.distinct(), "pairs")
-    of = lambda x: words.select(F.col("id").alias(x), F.col("word").alias(f"word_{x}"), F.col("n").alias(f"n_{x}"))
-    named = pairs.join(of("a"), "a").join(of("b"), "b")
-    same = F.char_length("word_a") == F.char_length("word_b")
-    ordered = named.where(~same | (F.col("word_a") < F.col("word_b")))
-    reached = ordered.where(F.levenshtein("word_a", "word_b", 1) == 1)
-    near = materialise(reached, "near")
+    length = F.char_length("word")
+    ordered = (F.char_length("a") < F.char_length("b")) | (F.col("a") < F.col("b"))
+    verified = ordered & (F.levenshtein("a", "b", 1) == 1)
+    text = words.select(F.col("word").alias("id"), "word")
+    short = _met(text.where(length <= LONG), text.where(length <= LONG + 1), grams).where(verified)
+    far = words.where(length > LONG).select("id", "word")
+    of = lambda x: far.select(F.col("id").alias(f"{x}_id"), F.col("word").alias(x))
+    ids = _met(far, far, grams).select(F.col("a").alias("a_id"), F.col("b").alias("b_id")).distinct()
+    long = ids.join(of("a"), "a_id").join(of("b"), "b_id").where(verified).select("a", "b")
+    pairs = materialise(short.unionByName(long).distinct(), "pairs")
+    n = lambda x: words.select(F.col("word").alias(x), F.col("n").alias(f"n_{x}"))
+    near = materialise(lookup(lookup(pairs, "a", n("a")), "b", n("b")), "near")
     discard(pairs)
     return near
 
@@ -196,7 +289,7 @@ def near_words(words: DataFrame, parts: int = PARTS) -> DataFrame:
 def spelling_forms(words: DataFrame, ratio: int = 10, parts: int = PARTS) -> DataFrame:
     """word, form, root, n, n_near, form_n of a written table (id, word, n) of distinct words; see ``spelling_variants``."""
     near = near_words(words, parts)
-    both = near.select(F.col("word_a").alias("word"), F.col("word_b").alias("other"), F.col("n_b").alias("m")).unionByName(near.select(F.col("word_b").alias("word"), F.col("word_a").alias("other"), F.col("n_a").alias("m")))
+    both = near.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")).unionByName(near.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m")))
     best = both.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("m")).alias("less"), F.col("other"))).alias("best"))
     joined = words.select("word", "n").join(best, "word", "left")
     is_form = -F.col("best.less") >= ratio * F.col("n")

@@ -185,7 +185,8 @@ def test_chains_of_forms_and_very_long_words(spark):
     assert (got[long].form, got[long].n_near) == (words[5][1], 2) and got[words[6][1]].form is None
 
 
-def test_every_cut_leaves_grams_on_both_sides(spark):
+def test_every_word_has_lists_that_survive_an_edit(spark):
+    """Every word longer than seven has three grams with spans apart, every other at least a cut; both within bounds."""
     rng = random.Random(1)
     words = sorted({"".join(rng.choice("ab") for _ in range(rng.randint(7, 12))) for _ in range(600)})
     table = materialise(spark.createDataFrame(list(enumerate(words)), "id long, word string"), "words")
@@ -193,10 +194,32 @@ def test_every_cut_leaves_grams_on_both_sides(spark):
     assert grams.longer.any() and len(grams.code) <= 4 * spelling.FRACTION * 20
     for size in range(7, 13):
         points = np.array([[ord(c) + 1 for c in w] for w in words if len(w) == size], np.int64) % 4095
-        s = spelling.decompose(points, grams)
+        parts = spelling.decompose(points, grams)
+        chosen, found = spelling.triples(parts)
+        assert found.all() or size == 7
+        at = np.flatnonzero(found)
+        a, b, c = chosen[at].T
+        assert (a + parts.reach[at, a] <= b).all() and (b + parts.reach[at, b] <= c).all()
+        s = spelling.sides(parts)
         assert (s.first >= s.last + 2).all() and (s.first <= size - spelling.QMIN).all()
 
 
+def test_lengths_around_the_borders(spark):
+    """Words of seven and eight, and around the length from which words have other lists."""
+    rng = random.Random(8)
+    words = set()
+    for size in (7, 8, spelling.LONG - 1, spelling.LONG, spelling.LONG + 1, spelling.LONG + 2):
+        for _ in range(25):
+            w = "".join(rng.choice("abc") for _ in range(size))
+            i = rng.randrange(size)
+            words |= {w, w[:i] + "z" + w[i:], w[:i] + "y" + w[i + 1 :], w[:i] + w[i + 1 :]}
+    words = sorted(w for w in words if len(w) >= 7)
+    table = materialise(spark.createDataFrame([(k, w, 2) for k, w in enumerate(words)], "id long, word string, n long"), "words")
+    want = {tuple(sorted((v, w), key=lambda x: (len(x), x))) for v, w in itertools.combinations(words, 2) if abs(len(v) - len(w)) < 2 and one_edit(v, w)}
+    for parts in (spelling.PARTS, 10):
+        assert sorted((r.a, r.b) for r in spelling.near_words(table, parts).collect()) == sorted(want)
+
+
 LICENSED = [
     None, "", "no words of this kind", "MIT License", "mit license mit license", "the apache-license and CC-BY 4.0", "x gnu general public license, MIT license.", "cc by", "ccc by cc bye", "mit licenses",
     "Licensed under CC BY-NC 4.0.", "All rights\nreserved.", "All rights reserved.", " mit license", "MIT\x00LICENSE", "É mit license",
