@@ -15,7 +15,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BUCKETS, DIMS, NEIGHBOURS, MAX_LABELLED, BLOCK = 1024, 32, 15, 3000, 512
@@ -104,21 +104,29 @@ def vote(model: Model, texts: list[bytes], neighbours: int = NEIGHBOURS) -> np.n
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_bytes: int = MAX_LABELLED_BYTES, held_out: bool = True) -> Model:
-    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the id over all labelled ones; from the
-    first one on that would make more than ``max_bytes`` of text together, they are left out.
+    """Fit on at most ``max_labelled`` labelled documents, chosen by a hash of the id over all labelled ones, and at most
+    ``max_bytes`` of their texts: in that order a text that doesn't fit into what is left is passed over, and only it.
 
     With ``held_out``, ids whose crc32 (of the decimal id) leaves 1 modulo 3 are never learned from. Null labels and
     ids without a document are left out; of an id labelled twice the smallest label counts, of an id with several texts
-    the smallest text. Without any labelled document the model has no neighbours and every score is 0.5.
+    the shortest text (ties by a hash of it). Sizes are looked at first, so texts that aren't taken never move. Without
+    any labelled document the model has no neighbours and every score is 0.5.
     """
     rows = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
     if held_out:
         rows = rows.where(F.crc32(F.col("id").cast("string")) % 3 != 1)
     rows = rows.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(max_labelled)
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chosen = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min("text").alias("text"))  # max_labelled rows at most
-    chosen = chosen.withColumn("size", F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("id"), "id"))).where(F.col("size") <= max_bytes)
-    sample = chosen.orderBy(F.xxhash64("id"), "id").toPandas()
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.octet_length(text).alias("size"), F.xxhash64(text).alias("hash"))
+    sizes = texts.join(F.broadcast(rows), "id").groupBy("id", "label").agg(F.min(F.struct("size", "hash")).alias("t"))  # max_labelled rows at most
+    taken, room = [], max_bytes
+    for r in sizes.orderBy(F.xxhash64("id"), "id").collect():
+        if r.t.size <= room:
+            taken.append((r.id, r.label, r.t.size, r.t.hash, len(taken)))
+            room -= r.t.size
+    kind = docs.schema[id_col].dataType.simpleString()
+    chosen = docs.sparkSession.createDataFrame(taken, f"id {kind}, label int, size int, hash long, place int")
+    sample = texts.join(F.broadcast(chosen), ["id", "size", "hash"]).groupBy("place", "label").agg(F.min("text").alias("text")).orderBy("place").toPandas()
     if not len(sample):
         return Model(np.ones(BUCKETS, np.float32), np.zeros((BUCKETS + KINDS + 3, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
     return fit([t.encode() for t in sample["text"]], sample["label"].to_numpy())
