@@ -26,17 +26,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Texts are equal if identical after lower-casing A-Z; null counts as the empty text, so null and empty texts form
     one group. The row with the largest id stays. Ids are expected to be unique; where an id is repeated with the
     same text, its rows are counted in ``group_size`` and exactly one of them can be kept. A null id loses against
-    any other and stays only in a group of null ids; rows without id share one salt. An empty table gives an empty
+    any other and stays only in a group of null ids; rows without id are salted by their other columns. Very long texts are
+    compared whole; ties can't arise between unique ids. An empty table gives an empty
     result. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("norm")).select(
-        "doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int").alias("salt")
+    rest = [docs[f"`{c}`"] for c in docs.columns if c != text_col] if len(set(docs.columns)) == len(docs.columns) else [F.col(id_col)]
+    deal = F.when(F.col(id_col).isNull(), F.xxhash64(*rest)).otherwise(F.xxhash64(id_col))
+    rows = docs.select(F.col(id_col).alias("doc_id"), fold_ascii(F.coalesce(F.col(text_col), F.lit(""))).alias("norm"), deal.alias("deal")).select(
+        "doc_id", "norm", F.sha2("norm", 256).alias("sha"), F.pmod("deal", F.lit(salts)).cast("int").alias("salt")
     )
     salted = rows.groupBy("sha", "norm", "salt").agg(F.max("doc_id").alias("top"), F.count(F.lit(1)).alias("n"))
     text, digest = Window.partitionBy("sha", "norm"), Window.partitionBy("sha")
     combined = salted.repartition("sha").select(
-        "sha", "norm", "salt", F.max("top").over(text).alias("keep_id"), F.sum("n").over(text).alias("group_size")
+        "sha", "norm", "salt", "top", F.max("top").over(text).alias("keep_id"), F.sum("n").over(text).alias("group_size")
     )
+    held = F.when(F.col("top").eqNullSafe(F.col("keep_id")), F.col("salt"))
+    combined = combined.withColumn("held", F.min(held).over(text)).drop("top")  # the salt that the kept row comes from
     clash = F.min("norm").over(digest) != F.max("norm").over(digest)
     winners = materialise(combined.withColumn("clash", clash).withColumn("norm", F.when(F.col("clash"), F.col("norm"))), "winners")
     joined = rows.drop("norm").join(winners.where(~F.col("clash")).drop("norm", "clash"), ["sha", "salt"])
@@ -48,7 +53,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "doc_id",
         "keep_id",
         "group_size",
-        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("nth") == 1)).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("salt") == F.col("held")) & (F.col("nth") == 1)).alias("kept"),
         F.col("sha").alias("text_sha256"),
     )
 

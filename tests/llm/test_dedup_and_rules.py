@@ -40,6 +40,17 @@ def test_exact_groups_edges(spark):
     assert sorted((r.doc_id or 0, r.text.lower(), r.norm) for r in kept) == [(0, "b", "clash"), (2, "a", "clash"), (5, "c", "clash")]
 
 
+def test_rows_without_id_are_salted(spark):
+    """Very many rows of one text without ids meet in no single group, and one of them stays."""
+    rows = [(None, "same Text", k) for k in range(600)] + [(None, "other", 1), (3, "other", 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place int").repartition(5)
+    got = exact_dedup.exact_groups(df).collect()
+    assert sorted((str(r.keep_id), r.group_size, r.kept) for r in got if r.kept) == [("3", 2, True), ("None", 600, True)] and len(got) == 602
+    assert sorted(r.text for r in exact_dedup.drop_exact_copies(df).collect()) == ["other", "same Text"]
+    twins = spark.createDataFrame([(None, "a", 1)] * 4, "doc_id long, text string, place int")
+    assert [r.kept for r in exact_dedup.exact_groups(twins).collect()].count(True) == 1
+
+
 def repeat_words(words):
     grams = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
     return len({i + k for i, g in enumerate(grams) if grams.count(g) > 1 for k in range(5)})
