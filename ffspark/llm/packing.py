@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ffspark.llm.shared import materialise
+
 CAPACITY = 2048
 GROUP_DOCS = 4096
 END_ID = 1
@@ -162,13 +164,14 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_docs: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
-    """Add sequence_id and offset to ``pieces``, without ``deal``. ``n_docs`` sets the number of groups.
+def pack(pieces: DataFrame, n_pieces: int, capacity: int = CAPACITY, group_docs: int = GROUP_DOCS, seed: int = 7) -> DataFrame:
+    """Add sequence_id and offset to ``pieces``, without ``deal``. ``n_pieces`` sets the number of groups,
+    of about ``group_docs`` pieces each, however long the documents.
 
     Sequence ids are unique over all groups (group * 2^32 + bin). Within a group equal lengths are taken in order of
     (doc_id, start, crc), so the result doesn't depend on partitioning.
     """
-    groups = max(1, -(-n_docs // group_docs))
+    groups = max(1, -(-n_pieces // group_docs))
 
     def fill(table: pa.Table) -> pa.Table:
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]
@@ -190,4 +193,5 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id",
     length are taken in order of id, start and crc. An empty table gives no rows. Other columns are ignored, whatever
     their names.
     """
-    return pack(document_pieces(docs, tokenizer_file, id_col, text_col, capacity), docs.count(), capacity, group_docs)
+    pieces = materialise(document_pieces(docs, tokenizer_file, id_col, text_col, capacity), "pieces")
+    return pack(pieces, pieces.count(), capacity, group_docs)

@@ -211,6 +211,10 @@ def test_labelled_texts_are_bounded_in_bytes(spark):
     size = len(texts[0])
     assert [len(quality_knn.train(docs(spark, texts), labels, max_bytes=n, held_out=False).labels) for n in (0, 7 * size, 10**9)] == [0, 7, 30]
     assert len(quality_knn.train(docs(spark, texts), labels, max_labelled=4, held_out=False).labels) == 4
+    for k in range(30):  # a text above the bound leaves out itself only
+        large = [*texts[:k], "good words here " * 2000, *texts[k + 1 :]]
+        if k % 10 == 0:
+            assert len(quality_knn.train(docs(spark, large), labels, max_bytes=29 * size, held_out=False).labels) == 29
 
 
 def test_ties_among_neighbours():
@@ -421,6 +425,13 @@ def test_packing_deals_out_copies_and_long_texts(spark):
     assert sum(r.length for r in rows) > 0.97 * 2048 * len({r.sequence_id for r in rows})
 
 
+def test_packing_sizes_groups_by_pieces(spark):
+    """Few documents with very many pieces make many groups."""
+    rows = packing.pack_documents(docs(spark, ["word " * 40_000] * 12), queries.tokenizer_path(), group_docs=50).collect()
+    groups = collections.Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) >= 12 * 19 and len(groups) == -(-len(rows) // 50) and max(groups.values()) <= 100
+
+
 def test_packing_a_long_unbroken_text(spark):
     from tokenizers import Tokenizer
 
