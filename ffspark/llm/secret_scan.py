@@ -8,6 +8,8 @@ Built-in functions only.
 
 from __future__ import annotations
 
+import uuid
+
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -36,6 +38,8 @@ RULES = (
     SecretRule("hex", 1, r"[0-9a-f]{24,}", 24),
 )
 
+#: Hex digits of a digest by which a kept ledger's files are dealt to folders.
+PREFIX = 2
 LEDGER = "blob string, rule string, rule_version int, spans array<struct<start:long,end:long>>"
 
 
@@ -59,13 +63,13 @@ def scan_blobs(blobs: DataFrame, rules: tuple[SecretRule, ...]) -> DataFrame:
     return scanned.select("blob", F.inline("found"))
 
 
-def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def scan_versions(versions: DataFrame, ledger: DataFrame | BlobLedger | None = None, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(findings, added): ``findings`` has one row per row of ``versions`` with path, blob and ``found``, an array of
     (start, rank, kind, end) in order of start and rule; ``added`` are the new ledger rows, already written to shared
     storage, to be appended to ``ledger``.
 
     A null text is the empty blob. Paths may be null or repeat (one row per version). Empty tables give empty results.
-    Other columns are ignored, whatever their names. Where few blobs are new, Spark sends their digests to the texts; else
+    Other columns are ignored, whatever their names; very long texts are scanned whole. Where few blobs are new, Spark sends their digests to the texts; else
     each text moves once, whatever the number of its copies.
     """
     addressed = versions.select(F.col(path_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
@@ -73,14 +77,18 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
     paths = materialise(addressed.drop("text"), "versions")
     todo = paths.groupBy("blob").agg(F.min("owner").alias("owner"))
     missing = F.array(*[F.lit(name_of(r)) for r in rules])
+    if isinstance(ledger, BlobLedger):
+        ledger = ledger.of(todo)
     if ledger is not None:
+        # Of the ledger only the push's blobs are looked at again: Spark sends the digests of a small push to the files.
+        ledger = materialise(ledger.join(todo.select("blob"), "blob", "left_semi").select("blob", "rule", "rule_version", "spans"), "known")
         seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "rule", "rule_version")).alias("seen"))
         todo = todo.join(seen, "blob", "left")
         missing = F.array_except(missing, F.coalesce("seen", F.array().cast("array<string>")))
     todo = materialise(todo.select("blob", "owner", missing.alias("missing")).where(F.size("missing") > 0), "unseen")
     added = materialise(scan_blobs(addressed.select("blob", "owner", "text").join(todo, ["blob", "owner"]), rules), "found")
     discard(todo)
-    known = added if ledger is None else added.unionByName(ledger.select("blob", "rule", "rule_version", "spans"))
+    known = added if ledger is None else added.unionByName(ledger)
     rank = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(name_of(r)), F.lit(k))])
     hits = known.where(F.size("spans") > 0).withColumn("rank", rank[F.concat_ws(":", "rule", "rule_version")]).where("rank IS NOT NULL")
     spans = hits.select("blob", F.explode(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank"), F.col("rule").alias("kind"), s["end"].alias("end")))).alias("s"))
@@ -90,23 +98,35 @@ def scan_versions(versions: DataFrame, ledger: DataFrame | None = None, rules: t
 
 
 class BlobLedger:
-    """A ledger kept as Parquet at ``path``; every scan reads it and appends what is new."""
+    """A ledger kept as Parquet at ``path``, in a folder for each scan and, inside, for the first ``PREFIX`` hex digits of the
+    digest. A scan reads only the folders of its own digests and adds one of its own, so scans may run at once."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
 
-    def read(self) -> DataFrame | None:
+    def read(self, prefixes: list[str] | None = None) -> DataFrame | None:
+        """All rows, or those whose digest begins with one of ``prefixes``."""
         try:
-            return self.spark.read.schema(LEDGER).parquet(self.path)
+            rows = self.spark.read.schema(f"{LEDGER}, scan string, prefix string").parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return None
+        return (rows if prefixes is None else rows.where(F.col("prefix").isin(prefixes))).drop("scan", "prefix")
+
+    def of(self, blobs: DataFrame) -> DataFrame | None:
+        """The rows in the folders of these blobs' digests; at most 16 ** ``PREFIX`` prefixes come to the driver."""
+        return self.read([r.p for r in blobs.select(F.left("blob", F.lit(PREFIX)).alias("p")).distinct().collect()])
+
+    def add(self, rows: DataFrame) -> None:
+        own = f"{self.path}/scan={uuid.uuid4().hex}"
+        prefix = F.left("blob", F.lit(PREFIX))
+        rows.withColumn("prefix", prefix).hint("rebalance", "prefix").write.partitionBy("prefix").parquet(own)
 
     def scan(self, versions: DataFrame, rules: tuple[SecretRule, ...] = RULES, path_col: str = "path", text_col: str = "text") -> DataFrame:
         """The findings of ``scan_versions``. What it adds is in the ledger when this returns."""
-        findings, added = scan_versions(versions, self.read(), rules, path_col, text_col)
-        added.write.mode("append").parquet(self.path)
+        findings, added = scan_versions(versions, self, rules, path_col, text_col)
+        self.add(added)
         return findings
 
 
