@@ -8,7 +8,9 @@
    confidence the best score of its patterns. So a pattern that precedes all kinds alike, or look-alikes that fail the
    checks, scores low. Equal edges are merged first, and what many instances look up is spread over parts; no pair of
    instances is ever made.
-4. Candidates outside the base spans, with a pattern that scores at least ``accept``, are added with its kind.
+4. Candidates outside the base spans, with a pattern that scores at least ``accept`` and a form that agrees with the
+   seeds of its kind, are added with that kind; of patterns that score alike, the kind last in the alphabet counts.
+   Values that don't have the form hand no confidence on either.
 """
 
 from __future__ import annotations
@@ -27,10 +29,19 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: What a discovered value has in common with the seeds of a kind: an at sign between names, four short parts, or that many
+#: digits and no letters; other marks may stand around it.
+FORMS = {
+    "email": r"[A-Za-z0-9]@[A-Za-z0-9]",
+    "ip": r"^[^0-9A-Za-z]*[0-9A-Za-z]{1,3}(\.[0-9A-Za-z]{1,3}){3}[^0-9A-Za-z]*$",
+    "card": r"^[^0-9A-Za-z]*[0-9](-?[0-9]){12,18}[^0-9A-Za-z]*$",
+    "phone": r"^[^0-9A-Za-z]*[0-9]([().-]*[0-9]){6,14}[^0-9A-Za-z]*$",
+}
 #: A word that may be an identifier: no white space, at least one digit or at sign.
 CANDIDATE = r"(?<![^\x20\x09-\x0D])(?=[^\x20\x09-\x0D0-9@]*+[0-9@])[^\x20\x09-\x0D]++"
 ROUNDS, ACCEPT, SUPPORT = 3, 0.8, 5
-#: Characters on either side of a candidate that its patterns' words are read from.
+#: Characters on either side of a candidate that its patterns' words are read from; of longer words the part next to the
+#: candidate counts.
 CONTEXT_CHARS = 256
 #: Values longer than this stand in the graph by their digest.
 LONGEST = 64
@@ -88,6 +99,11 @@ def lexical_patterns(before: Column, value: Column, after: Column) -> Column:
     return F.array(F.concat(left(2), F.lit(" _")), F.concat_ws(" ", left(1), shape(value), right(1)), F.concat_ws(" ", F.lit("_"), shape(value), right(2)))
 
 
+def forms(value: Column) -> Column:
+    """The kinds whose form a value has."""
+    return F.filter(F.array(*[F.when(value.rlike(FORMS[k]), F.lit(k)) for k in KINDS]), lambda k: k.isNotNull())
+
+
 def _candidates(text: Column) -> Column:
     return F.transform(
         matches(marked(text, CANDIDATE), CONTEXT_CHARS),
@@ -96,6 +112,7 @@ def _candidates(text: Column) -> Column:
             m["end"].alias("end"),
             F.when(F.char_length(m["value"]) > LONGEST, F.sha2(m["value"], 256)).otherwise(m["value"]).alias("value"),
             lexical_patterns(m["before"], m["value"], m["after"]).alias("patterns"),
+            forms(m["value"]).alias("forms"),
         ),
     )
 
@@ -108,22 +125,22 @@ def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT) -> DataFrame:
-    """pattern, kind, score from ``edges`` (pattern, value, kind; kind is null unless the value is a seed there).
+    """pattern, kind, score from ``edges`` (pattern, value, forms, kind; kind is null unless the value is a seed there).
 
     Equal edges are merged first, so one value or pattern that fills the corpus counts once per partner. A pattern of
     fewer than ``support`` values scores 0; of kinds that are equally likely the first listed one is taken.
     """
-    distinct = materialise(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "edges")
-    graph = distinct.select("pattern", "value")
+    distinct = materialise(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"), F.min("forms").alias("forms")), "edges")
+    graph = distinct.select("pattern", "value", "forms")
     seeds_ = materialise(distinct.where("kind IS NOT NULL").groupBy("value").agg(F.min("kind").alias("kind")).withColumn("c", F.lit(1.0)), "seeds")
     confident = seeds_
     for k in range(rounds):
         of = [F.sum(F.when(F.col("kind") == kind, F.col("c")).otherwise(0.0)).alias(kind) for kind in KINDS]
-        sums = lookup(graph, "value", confident, "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *of).withColumn("best", F.greatest(*KINDS))
+        sums = lookup(graph.drop("forms"), "value", confident, "left").groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), *of).withColumn("best", F.greatest(*KINDS))
         kind_of = F.coalesce(*[F.when(F.col(kind) == F.col("best"), F.lit(kind)) for kind in KINDS])
         scored = materialise(sums.where((F.col("n") >= support) & (F.col("best") > 0)).select("pattern", kind_of.alias("kind"), (F.col("best") / (F.col("n") + F.lit(1.0 / support))).alias("score")), f"patterns{k}")
         if k < rounds - 1:
-            raised = lookup(graph, "pattern", scored).select("value", F.struct(F.col("score").alias("c"), "kind").alias("s"))
+            raised = lookup(graph, "pattern", scored).where(F.array_contains("forms", F.col("kind"))).select("value", F.struct(F.col("score").alias("c"), "kind").alias("s"))
             raised = raised.unionByName(seeds_.select("value", F.struct("c", "kind").alias("s"))).groupBy("value").agg(F.max("s").alias("s"))
             confident = materialise(raised.select("value", "s.kind", "s.c"), f"values{k}")
     discard(distinct, seeds_)
@@ -134,17 +151,17 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per row of ``docs``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_found, n_spans.
 
     The counts and the digest cover the base spans; ``spans`` has those and the ``n_found`` discovered ones, by kind, then
-    start, ``n_spans`` in all. A null text counts as empty and has no spans. Ids may be null or repeated. An empty table
+    start, ``n_spans`` in all. Very long texts are scanned whole. A null text counts as empty and has no spans. Ids may be null or repeated. An empty table
     gives an empty result. Other columns are ignored, whatever their names.
     """
     found = materialise(extract(docs, id_col, text_col), "pii")
     covers = lambda c: F.exists("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
     kind_of = lambda c: F.element_at(F.concat(F.transform(F.filter("base", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])), lambda s: s["kind"]), F.array(F.lit(None).cast("string"))), 1)
-    edges = found.select(F.explode(F.transform("candidates", lambda c: F.struct(c["patterns"].alias("patterns"), c["value"].alias("value"), kind_of(c).alias("kind")))).alias("e"))
-    edges = edges.select(F.explode("e.patterns").alias("pattern"), "e.value", "e.kind")
+    edges = found.select(F.explode(F.transform("candidates", lambda c: F.struct(c["patterns"].alias("patterns"), c["value"].alias("value"), c["forms"].alias("forms"), kind_of(c).alias("kind")))).alias("e"))
+    edges = edges.select(F.explode("e.patterns").alias("pattern"), "e.value", "e.forms", "e.kind")
     good = score_patterns(edges, rounds, support).where(F.col("score") >= accept)
-    open_ = found.select("row_key", F.explode(F.filter("candidates", lambda c: ~covers(c))).alias("c")).select("row_key", "c.start", "c.end", F.explode("c.patterns").alias("pattern"))
-    named = lookup(open_, "pattern", good).groupBy("row_key", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    open_ = found.select("row_key", F.explode(F.filter("candidates", lambda c: ~covers(c) & (F.size(c["forms"]) > 0))).alias("c")).select("row_key", "c.start", "c.end", "c.forms", F.explode("c.patterns").alias("pattern"))
+    named = lookup(open_, "pattern", good).where(F.array_contains("forms", F.col("kind"))).groupBy("row_key", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     rank = F.create_map(*[x for k, kind in enumerate(KINDS) for x in (F.lit(kind), F.lit(k))])
     new = named.select("row_key", F.struct(rank[F.col("best.kind")].alias("rank"), "start", F.col("best.kind").alias("kind"), "end").alias("s"))
     new = new.groupBy("row_key").agg(F.array_sort(F.collect_list("s")).alias("new"))
@@ -167,6 +184,7 @@ PLAIN_PATTERNS = {
 def oracle_sql(rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> str:
     """``personal_data`` in DuckDB's SQL, round by round; words are cut by position, contexts read from the text."""
     word_list = r"list_filter(regexp_split_to_array(regexp_replace(lower({}), '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+'), lambda w: regexp_matches(w, '[\p{{L}}0]'))".format
+    fits = ", ".join(f"CASE WHEN regexp_matches(v, '{FORMS[k]}') THEN '{k}' END" for k in KINDS)
     short = f"CASE WHEN length({{0}}) > {LONGEST} THEN sha256({{0}}) ELSE {{0}} END".format
     steps, known = [], "seeds"
     for k in range(rounds):
@@ -178,7 +196,7 @@ def oracle_sql(rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPP
             f" FROM ({best}) WHERE n >= {support} AND greatest({', '.join(KINDS)}) > 0)"
         )
         known = f"values{k}"
-        both = f"SELECT value, score AS c, patterns{k}.kind AS kind FROM edges JOIN patterns{k} USING (pattern) UNION ALL SELECT value, c, kind FROM seeds"
+        both = f"SELECT value, score AS c, patterns{k}.kind AS kind FROM edges JOIN patterns{k} USING (pattern) WHERE list_contains(forms, patterns{k}.kind) UNION ALL SELECT value, c, kind FROM seeds"
         steps.append(f"{known} AS MATERIALIZED (SELECT value, top.c AS c, top.kind AS kind FROM (SELECT value, max({{'c': c, 'kind': kind}}) AS top FROM ({both}) GROUP BY value))")
     graph = ",\n".join(steps[:-1])
     rank = " ".join(f"WHEN '{kind}' THEN {k}" for k, kind in enumerate(KINDS))
@@ -198,17 +216,17 @@ contexts AS (
     ['^', '^'] || {word_list(f"substring(text, greatest(1, start - {CONTEXT_CHARS - 1}), least(start, {CONTEXT_CHARS}))")} AS l,
     {word_list(f"substring(text, stop + 1, {CONTEXT_CHARS})")} || ['$', '$'] AS r
   FROM words JOIN texts USING (row)),
-shaped AS (SELECT row, start, stop, {short("v")} AS value, {short("drawn")} AS shape, l[-2] AS l2, l[-1] AS l1, r[1] AS r1, r[2] AS r2 FROM contexts),
+shaped AS (SELECT row, start, stop, {short("v")} AS value, {short("drawn")} AS shape, list_filter([{fits}], lambda k: k IS NOT NULL) AS forms, l[-2] AS l2, l[-1] AS l1, r[1] AS r1, r[2] AS r2 FROM contexts),
 candidates AS MATERIALIZED (
-  SELECT shaped.row, shaped.start, shaped.stop, any_value(value) AS value, arg_min(kind, rank) AS kind,
+  SELECT shaped.row, shaped.start, shaped.stop, any_value(value) AS value, any_value(forms) AS forms, arg_min(kind, rank) AS kind,
     any_value([concat_ws(' ', l2, l1, '_'), concat_ws(' ', l1, shape, r1), concat_ws(' ', '_', shape, r1, r2)]) AS patterns
   FROM shaped LEFT JOIN spans ON spans.row = shaped.row AND spans.start < shaped.stop AND shaped.start < spans.stop GROUP BY ALL),
-edges AS MATERIALIZED (SELECT pattern, value, min(kind) AS kind0 FROM (SELECT unnest(patterns) AS pattern, value, kind FROM candidates) GROUP BY pattern, value),
+edges AS MATERIALIZED (SELECT pattern, value, min(kind) AS kind0, min(forms) AS forms FROM (SELECT unnest(patterns) AS pattern, value, kind, forms FROM candidates) GROUP BY pattern, value),
 seeds AS MATERIALIZED (SELECT value, min(kind0) AS kind, 1.0::DOUBLE AS c FROM edges WHERE kind0 IS NOT NULL GROUP BY value),
 {graph},
 named AS (
   SELECT row, start, stop, max({{'score': score, 'kind': p.kind}}).kind AS kind
-  FROM (SELECT row, start, stop, unnest(patterns) AS pattern FROM candidates WHERE kind IS NULL) JOIN patterns{rounds - 1} p USING (pattern) WHERE score >= {accept} GROUP BY row, start, stop),
+  FROM (SELECT row, start, stop, forms, unnest(patterns) AS pattern FROM candidates WHERE kind IS NULL) JOIN patterns{rounds - 1} p USING (pattern) WHERE score >= {accept} AND list_contains(forms, p.kind) GROUP BY row, start, stop),
 every AS (SELECT row, rank, kind, start, stop, true AS base FROM spans UNION ALL SELECT row, CASE kind {rank} END, kind, start, stop, false FROM named),
 listed AS (
   SELECT row, {counts}, count_if(NOT base)::BIGINT AS n_found, count(*) AS n_spans, string_agg(concat_ws(':', kind, start, stop), ',' ORDER BY rank, start) AS spans,

@@ -47,6 +47,22 @@ def test_secrets(spark):
     assert not re.search("Python|Arrow|Pandas", secret_scan.scan_blobs(frame(spark, SECRETS).selectExpr("blob", "text", "array('hex:1') AS missing"), secret_scan.RULES)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_a_push_reads_its_part_of_the_ledger(spark, tmp_path):
+    """Of a kept ledger only folders of the push's digests are read, and only rows of its blobs go on; two scans may add at
+    once."""
+    ledger = secret_scan.BlobLedger(spark, str(tmp_path / "ledger"))
+    texts = [f"token=abcdef{k}" for k in range(400)]
+    first = ledger.scan(frame(spark, texts), path_col="doc_id").count()
+    assert first == 400 and ledger.read().count() == 1200
+    push = spark.createDataFrame([(k, f"token=abcdef{k}") for k in (1, 2, 3)] + [(9, "token=zzzzzz")], "path long, text string")
+    blobs = push.select(F.sha2("text", 256).alias("blob"))
+    plan = ledger.of(blobs)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [prefix" in plan and 9 <= ledger.of(blobs).count() < 120
+    found = ledger.scan(push)
+    assert {r.path: len(r.found) for r in found.collect()} == {1: 1, 2: 1, 3: 1, 9: 1} and ledger.read().count() == 1203
+    assert len({x.name for x in (tmp_path / "ledger").iterdir() if x.name.startswith("scan=")}) == 2
+
+
 def test_ledger_scans_only_what_is_new(spark):
     v1 = frame(spark, ["token=abcdef", "nothing", None], [1, 2, 3]).withColumnRenamed("doc_id", "path")
     findings, added = secret_scan.scan_versions(v1)
@@ -142,7 +158,7 @@ def test_bootstrapping_discovers(spark):
     assert got[12].spans == f"email:{at}:{at + len('bob99@intranet')}" and got[12].n_found == 1 and got[12].n_email == 0
     assert got[12].base_sha256 == sha("")
     assert by_sql(pii.oracle_sql(), texts) == {k: r.asDict() for k, r in got.items()}
-    assert all(got[k].spans == "" for k in range(15, len(texts))) and got[13].spans == ""
+    assert all(got[k].spans == "" for k in range(13, len(texts)))
 
 
 def test_recall_on_planted_identifiers(spark):
@@ -168,9 +184,13 @@ def test_recall_on_planted_identifiers(spark):
         texts.append(f"{filler()} of the {number(16)} {filler()}")
     long = "x" * 300 + "7"
     texts += [f"call us at {long}"]
+    lookalikes = [f"{filler()} call us at {x} today" for x in ("9am", "10:30", "room7", "12", "7/8")] + ["reach me under agent007 now", "login from host db7 now", "login from host 3.11 now"]
+    texts += lookalikes
     got = {r.doc_id: r for r in pii.personal_data(frame(spark, texts)).collect()}
     caught = sum(got[k].spans == f"{kind}:{texts[k].index(v)}:{texts[k].index(v) + len(v)}" for k, (kind, v) in planted.items())
     assert caught >= 0.9 * len(planted)
     assert by_sql(pii.oracle_sql(), texts) == {k: r.asDict() for k, r in got.items()}
     assert all(got[k].n_found == 0 for k in range(plain, plain + 120))
-    assert got[len(texts) - 1].spans == f"phone:11:{11 + len(long)}" and all(r.n_spans == r.spans.count(":") // 2 for r in got.values())
+    found = [k for k, r in got.items() if r.n_found]
+    assert sum(k in planted for k in found) >= 0.95 * len(found)
+    assert all(got[k].spans == "" for k in range(plain + 120, len(texts))) and all(r.n_spans == r.spans.count(":") // 2 for r in got.values())
