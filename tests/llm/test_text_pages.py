@@ -120,10 +120,48 @@ def test_extraction(spark):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
     want = {1: "First text", 2: "Second text\nMore", 3: "Welcome\nAlone\nContact us", 4: "no url", 5: "", 6: "Shared line", 7: "Shared line\nOwn", 8: "Welcome\nSame\nContact us", 9: "Welcome\nSame\nContact us", None: ""}
     assert {k: r.text for k, r in got.items()} == want
-    assert all(r.n_chars == len(r.text) for r in got.values()) and got[1].neighbour_id == 2 and got[7].neighbour_id == 6
+    assert all(r.n_chars == len(r.text) for r in got.values()) and got[1].neighbour_id == 2 and got[7].neighbour_id is None  # structure decides both pages of c.org
     assert html_extract.extract_main_text(pages(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>Story</p><div class='ad-slot'>no</div><div class=advert_top>no</div><div id='google_ads_1'>no</div><p>end</p></article>", ["Story", "end"]),
+        ("<article><p>Story</p><div class='user-comments'><p>no</p></div><ol class=comment-thread><li>no</ol></article>", ["Story"]),
+        ("<article><p>Story</p></article><div id='comments'><article class='comment-body'><p>no</p></article></div>", ["Story"]),
+        ("<div class=related><article><p>no</p></article></div><article><p>Story</p></article><div class='sidebar'><article>no</article></div>", ["Story"]),
+        ("<form id=f><div><p>Story one.</p><input name=x><p>Story two.</p></div></form>", ["Story one.", "Story two."]),
+        ("<p>Skip</p><form id=f><p>A long story in a page that is a form as a whole.</p><select><option>no</select></form>", ["Skip", "A long story in a page that is a form as a whole."]),
+        ("<form action=/><div class=menu>no</div><article><p>Story</p><form>no</form></article></form>", ["Story"]),
+        ("<p>Write to us about what you have read in this paper.</p><form>Name <input><label>no</label></form>", ["Write to us about what you have read in this paper."]),
+        ("<article><p>Let <math><mi>x</mi></math> be.</p></article>", ["Let x be."]), ("<div class='content comments-open'><p>Story</p></div>", ["Story"]), ("<div class='ad-free'><p>Story</p></div>", ["Story"]),
+    ],
+)
+def test_adverts_comments_and_forms(page, want):
+    assert html_extract.main_text(page_lines(page), None).split("\n") == want
+
+
+def test_near_copies_keep_their_text(spark):
+    """Versions of a page lose lines that are no sentences only; pages with a text of their own lose what they share."""
+    story = "<p>Menu</p><p>Long story line one.</p><p>Line two.</p>"
+    rows = [(k, f"http://a.org/s?v={k}", f"{story}<p>Version {k}</p>") for k in range(3)] + [(10 + k, f"http://b.org/{k}", f"{story}<p>Version {k}</p>") for k in range(3)]
+    rows += [(20 + k, f"http://c.org/{k}", f"<p>We use cookies on this site.</p><p>This is the story number {k} of a long row of them.</p>") for k in range(3)]
+    got = {r.page_id: r.text for r in html_extract.extract_main_text(pages(spark, rows)).collect()}
+    assert got == {at + k: f"Long story line one.\nLine two.\nVersion {k}" for at in (0, 10) for k in range(3)} | {20 + k: f"This is the story number {k} of a long row of them." for k in range(3)}
+
+
+def test_only_undecided_pages_are_paired(spark, monkeypatch):
+    seen = []
+    real = html_extract._pairs
+    monkeypatch.setattr(html_extract, "_pairs", lambda reps, most: seen.append(reps.count()) or real(reps, most))
+    decided = [(k, f"http://a.org/{k}", f"<article><p>Story {k}</p></article>") for k in range(4)]
+    assert {r.text for r in html_extract.extract_main_text(pages(spark, decided + [(9, "http://a.org/9", None)])).collect()} == {"", *(f"Story {k}" for k in range(4))} and not seen
+    more = decided + [(10, "http://b.org/1", "<p>Menu</p><p>One</p>"), (11, "http://b.org/2", "<p>Menu</p><p>Two</p>")]
+    got = {r.page_id: (r.text, r.neighbour_id) for r in html_extract.extract_main_text(pages(spark, more)).collect()}
+    assert seen == [2] and got[10] == ("One", 11) and got[11] == ("Two", 10) and got[2] == ("Story 2", None)
+
+
 def test_partners_for_any_partitioning(spark, monkeypatch):
     """Pages at range borders, groups of copies and near copies of one path; without an article element."""
     plain = lambda own: f"<p>Welcome</p><p>{own}</p><p>Contact us</p>"
