@@ -16,31 +16,34 @@ from ffspark.llm.shared import scratch_path
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts. It learns from the labelled documents of the whole table. Null and
-    empty texts get the sample's share of good labels as score; without labels all documents stay."""
+    empty texts get the sample's share of good labels as score; very long ones are scored whole; without labels all
+    documents stay."""
     model = quality_knn.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_knn.accepted(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts (A-Z lower-cased), the one with the largest id. Null and empty texts are
-    one group; a null id stays only where all ids of its group are null; of repeated rows one stays."""
+    one group; very long texts are compared whole; a null id stays only where all ids of its group are null; of repeated
+    rows one stays."""
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the smallest id. Texts
-    without words stay; a null id stays only where all ids of its group are null; of repeated rows one stays."""
+    without words stay; very long ones are shingled whole; a null id stays only where all ids of its group are null; of repeated rows one stays."""
     return ngram_join.drop_near_copies(docs, words=5, num=80, den=100)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by probabilities calibrated to the target marginals. Null sources and languages are values of their
-    own; texts without words stay; rows that repeat an id share one draw."""
+    own; texts without words stay; very long ones are counted whole; rows that repeat an id share one draw."""
     return mixing.sample(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of at most 2048 tokens. Null and empty texts are one end id;
+    """Pieces of the documents, packed into sequences of at most 2048 tokens. Null and empty texts are one end id; very long ones are
+    cut into pieces;
     repeated rows and null ids are packed like others."""
     return packing.pack_documents(docs, tokenizer_path())
 

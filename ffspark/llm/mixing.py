@@ -140,7 +140,7 @@ def _rows(docs: DataFrame, text_col: str, source_col: str, lang_col: str, topic_
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None, targets: dict[str, DataFrame] | None = None, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, lang, topic, n_tokens, probability, kept.
 
-    Tokens are words. Texts without words (null and empty ones too) weigh nothing, have probability 1 and are kept. Null
+    Tokens are words, counted over whole texts of any length. Texts without words (null and empty ones too) weigh nothing, have probability 1 and are kept. Null
     sources, languages and topics are values of their own. Rows that repeat an id share one draw, so equal draws never
     depend on order. An empty table gives an empty result. Other columns are ignored, whatever their names. Without
     ``topic_col`` the topic is read from the text.

@@ -318,7 +318,7 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     reachable by links, itself included, class_id the smallest id with an equal set, and n_links the number of other
     sets that the document's set links with (all of them; 0 without ``count_links``). A text without words (null
     and empty ones too) has no shingles and links with nothing. Null ids take part, but give no component its number;
-    a component of null ids only has a null id. Repeated ids are separate rows. An empty table gives an empty result.
+    a component of null ids only has a null id. Repeated ids are separate rows. Very long texts are shingled whole. An empty table gives an empty result.
     Other columns are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))

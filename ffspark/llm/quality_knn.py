@@ -164,7 +164,8 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", threshold: f
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
-    A null text counts as empty; null and empty texts get the sample's share of label 1. Ids may be null (then
+    A null text counts as empty; very long texts are scored whole, and ties among neighbours go to the earlier row of the
+    sample. Null and empty texts get the sample's share of label 1. Ids may be null (then
     held_out is null) or repeated; equal texts get equal scores. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """

@@ -96,7 +96,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base_rules: tuple[Rule, ...] = BASE_RULES, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per row of ``docs``: doc_id, the measures, base_failed, kept.
 
-    A null or empty text has no words and fails. Ids may be null or repeated; each row is judged on its own text. An
+    A null or empty text has no words and fails. Very long texts are measured whole. Measures are integers, so no ties
+    arise. Ids may be null or repeated; each row is judged on its own text. An
     empty table gives an empty result. Other columns are ignored.
     """
     m = measures(docs, id_col, text_col)
