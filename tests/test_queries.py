@@ -1,3 +1,6 @@
+import importlib
+import sys
+
 import pytest
 
 from ffspark.plans import registry
@@ -21,3 +24,17 @@ def test_entry(spark, sf_dir):
 
     assert e.entry(spark).count() == 10
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_entry_survives_what_is_not_installed(monkeypatch):
+    """Without something that the llm package needs, its queries are left out with a warning, and the others stay."""
+    for name in [n for n in sys.modules if n == "__spark_entry__" or n == "corpus_pipeline" or n.startswith("ffspark.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.MonkeyPatch.context() as context:
+        context.setattr("warnings.warn", lambda *a, **k: None)
+        e = importlib.import_module("__spark_entry__")
+    assert set(e.queries()) == set(registry.queries()) and set(e.oracle_sql()) == set(SQL)
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
+    for name in [n for n in sys.modules if n.startswith("ffspark.llm")]:
+        sys.modules.pop(name)
