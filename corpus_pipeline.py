@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ffspark.llm import exact_dedup, mixing, ngram_join, packing, quality_knn
 from ffspark.llm.queries import table, tokenizer_path
 from ffspark.llm.shared import scratch_path
+from ffspark.sources.storage import remove
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +32,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, Jaccard 0.8 or more), the smallest id. Texts
-    without words stay; very long ones are shingled whole; a null id stays only where all ids of its group are null; of repeated rows one stays."""
+    without words stay; very long ones are shingled whole; a null id stays only where all ids of its group are null; of
+    repeated rows one stays."""
     return ngram_join.drop_near_copies(docs, words=5, num=80, den=100)
 
 
@@ -42,9 +44,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents, packed into sequences of at most 2048 tokens. Null and empty texts are one end id; very long ones are
-    cut into pieces;
-    repeated rows and null ids are packed like others."""
+    """Pieces of the documents, packed into sequences of at most 2048 tokens. Null and empty texts are one end id;
+    very long ones are cut into pieces; repeated rows and null ids are packed like others."""
     return packing.pack_documents(docs, tokenizer_path())
 
 
@@ -54,12 +55,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each one's result is written as Parquet and read again by the next."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each one's result is written as Parquet and read again by the next, after which it
+    goes. The last stage's result still reads what the one before it wrote, so that stays."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = scratch_path(spark, f"stage{k}")
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                remove(spark, before)
+            before = path
     return docs
