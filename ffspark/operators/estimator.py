@@ -23,7 +23,7 @@ from ffspark.operators.optim import Momentum, RMSprop
 from ffspark.sources.positions import PositionedSamples
 from ffspark.sources.registry import ModelRegistry
 from ffspark.sources.samples import sample_widths, validate_samples
-from ffspark.sources.storage import remove, scratch_path
+from ffspark.sources.storage import names_in, remove, scratch_path
 
 #: Both spellings of the three modes.
 MODES = {"batch": "batch", "Batch": "batch", "mini_b": "mini_b", "Mini Batch": "mini_b", "Mini batch": "mini_b", "stochastic": "stochastic", "Stochastic": "stochastic"}
@@ -215,12 +215,23 @@ class _Run:
         if self.mode == "batch" or once:
             self.held = self.data = chosen.persist()
         else:
-            self.path = scratch_path(self.spark, "samples")
-            self.stored = PositionedSamples.write(chosen, self.path)
+            self.stored = self._stored(chosen, own)
             self.data = self.stored.rows()
             if not self.ahead:
                 self.held = self.data = self.data.persist()
 
+    def _stored(self, chosen: DataFrame, own: bool) -> PositionedSamples:
+        """The samples with their numbers, in the shared folder for this run; with a log and rows that have no numbers of
+        their own beside the log, so that a fit that goes on finds the same rows under them."""
+        if self.by.log_to is None or own:
+            self.path = scratch_path(self.spark, "samples")
+            return PositionedSamples.write(chosen, self.path)
+        path = f"{self.by.log_to.rstrip('/')}/samples"
+        if "_complete" not in names_in(self.spark, path):
+            remove(self.spark, path)
+            PositionedSamples.write(chosen, path)
+        return PositionedSamples(self.spark, path)
+
     def close(self) -> None:
         if self.held is not None:
             self.held.unpersist()

@@ -118,6 +118,21 @@ def test_a_stopped_fit_goes_on(spark, tmp_path, mode):
     assert len([n for n in names_in(spark, path) if n.startswith("step=")]) <= 2
 
 
+def test_a_resumed_fit_keeps_its_numbers(spark, tmp_path):
+    """Rows without numbers that come in another order each time: the second start finds those of the first."""
+    x, y = data()
+    df, path = frame(spark, x, y).drop("sample_idx").orderBy(F.rand()), str(tmp_path / "log")
+    settings = dict(layers=LAYERS, batch_size=7, seed=3, log_every=2)
+    os.makedirs(tmp_path / "log/samples/rows")  # a write that broke off
+    (tmp_path / "log/samples/rows/part-0.parquet").write_bytes(b"half")
+    FeedForwardClassifier(**settings, fixed_iter=2, log_to=path).fit(df)
+    spark.catalog.clearCache()
+    resumed = FeedForwardClassifier(**settings, fixed_iter=5, log_to=path).fit(df)
+    numbered = PositionedSamples(spark, f"{path}/samples").rows()
+    whole = FeedForwardClassifier(**settings, fixed_iter=5).fit(numbered)
+    assert np.allclose(resumed.network.flat(), whole.network.flat(), atol=1e-14)
+
+
 # live limits
 
 
