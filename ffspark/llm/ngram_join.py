@@ -310,13 +310,14 @@ def _link_counts(comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataF
     return found.groupBy("id").agg(F.sum("n").alias("n_links"))
 
 
-def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, n_links.
+def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text", count_links: bool = False) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, class_id, and n_links with ``count_links``.
 
     Words are runs of characters other than ASCII white space, with A-Z in lower case. Two documents link if
     den * intersection >= num * union of their sets of shingles of ``words`` words; component_id is the smallest id
     reachable by links, itself included, class_id the smallest id with an equal set, and n_links the number of other
-    sets that the document's set links with (all of them; 0 without ``count_links``). A text without words (null
+    sets that the document's set links with, all of them: their number, and the work to count them, may grow with the
+    square of a component's size, while components alone take about linear work. A text without words (null
     and empty ones too) has no shingles and links with nothing. Null ids take part, but give no component its number;
     a component of null ids only has a null id. Repeated ids are separate rows. Very long texts are shingled whole. An empty table gives an empty result.
     Other columns are ignored, whatever their names.
@@ -370,16 +371,20 @@ def near_groups(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100,
     comps = connected_components(first.unionByName(more)).withColumnRenamed("node", "id")
     discard(first, more)
 
-    degree = materialise(_link_counts(comps, sets, num, den), "degrees") if count_links else comps.select("id", F.lit(0).cast("long").alias("n_links"))
-    named = comps.join(sets.select("id", "node"), "id").join(degree, "id").join(nodes.select("node", "class_id"), "node")
+    named = comps.join(sets.select("id", "node"), "id").join(nodes.select("node", "class_id"), "node")
+    degree = [materialise(_link_counts(comps, sets, num, den), "degrees")] if count_links else []
+    for d in degree:
+        named = named.join(d, "id")
+    extra = ["n_links"] * count_links
     lowest = named.groupBy("comp").agg(F.min("class_id").alias("component_id"))
-    linked = materialise(lookup(named, "comp", lowest).select("node", "component_id", "class_id", "n_links"), "linked")
-    discard(sets, comps, *[degree] * count_links)
-    copies = nodes.where("copies > 1").select("node", F.col("class_id").alias("component_id"), "class_id", F.lit(0).cast("long").alias("n_links"))
-    known = linked.unionByName(copies.join(linked.select("node"), "node", "left_anti"))
+    linked = materialise(lookup(named, "comp", lowest).select("node", "component_id", "class_id", *extra), "linked")
+    discard(sets, comps, *degree)
+    none = F.lit(0).cast("long")
+    copies = nodes.where("copies > 1").select("node", F.col("class_id").alias("component_id"), "class_id", *[none.alias(c) for c in extra])
+    known = linked.unionByName(copies.join(linked.select("node"), "node", "left_anti")).withColumn("found", F.lit(True))
     out = lookup(rows.select("ref", "doc_id", "node", "n"), "node", known, "left")
-    own = lambda c: F.when(F.col("n_links").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
-    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "ref"), "near")
+    own = lambda c: F.when(F.col("found").isNull(), F.col("doc_id")).otherwise(F.col(c)).alias(c)
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), own("component_id"), own("class_id"), *[F.coalesce(c, none).alias(c) for c in extra], "ref"), "near")
     discard(rows, nodes, linked)
     return out
 
@@ -388,7 +393,7 @@ def drop_near_copies(docs: DataFrame, words: int = 5, num: int = 80, den: int =
     """The rows of ``docs`` that stay, all columns unchanged: of each component the one with the smallest id, and all
     texts without words. Of rows that repeat an id and a text, one stays; rows that repeat an id with other texts stay
     or go together."""
-    groups = near_groups(docs, words, num, den, id_col, text_col, count_links=False)
+    groups = near_groups(docs, words, num, den, id_col, text_col)
     key, ref = fresh(docs, "key", "ref")
     stay = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("ref").alias(ref)).distinct()
     tagged = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
@@ -413,8 +418,7 @@ pairs AS (SELECT DISTINCT a.node AS a, b.node AS b FROM rare a JOIN rare b ON a.
 compared AS (SELECT a, b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS i FROM pairs JOIN nodes x ON a = x.node JOIN nodes y ON b = y.node),
 links AS MATERIALIZED (SELECT unnest([a, b]) AS a, unnest([b, a]) AS b FROM compared WHERE {den} * i >= {num} * (total - i)),
 reached AS (SELECT node, node AS far FROM nodes UNION SELECT reached.node, b FROM reached JOIN links ON far = a),
-components AS (SELECT reached.node, min(class_id) AS component_id FROM reached JOIN nodes ON far = nodes.node GROUP BY reached.node),
-degrees AS (SELECT a AS node, count(*) AS n_links FROM links GROUP BY a)
-SELECT doc_id, len(shingled.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id, coalesce(n_links, 0) AS n_links
-FROM shingled LEFT JOIN nodes ON shingled.s = nodes.s LEFT JOIN components USING (node) LEFT JOIN degrees USING (node)
+components AS (SELECT reached.node, min(class_id) AS component_id FROM reached JOIN nodes ON far = nodes.node GROUP BY reached.node)
+SELECT doc_id, len(shingled.s) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(class_id, doc_id) AS class_id
+FROM shingled LEFT JOIN nodes ON shingled.s = nodes.s LEFT JOIN components USING (node)
 """

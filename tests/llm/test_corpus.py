@@ -105,7 +105,26 @@ def test_near_links_are_all_counted(spark, monkeypatch, block):
     want = {k: sum(100 * len(s & y) >= 85 * len(s | y) for y in distinct if y != s) if s else 0 for k, s in enumerate(sets)}
     assert max(want.values()) > 15
     for parts in (1, 5):
-        assert {r.doc_id: r.n_links for r in ngram_join.near_groups(docs(spark, texts, parts=parts), 4, 85, 100).collect()} == want
+        assert {r.doc_id: r.n_links for r in ngram_join.near_groups(docs(spark, texts, parts=parts), 4, 85, 100, count_links=True).collect()} == want
+
+
+def test_near_components_take_linear_work(spark, monkeypatch):
+    """Of one group of distinct near copies, a number of pairs is compared that grows with its size, not its square."""
+    compared, verify = [], ngram_join._verify
+
+    def counted(pairs, *rest):
+        compared[-1] += pairs.count()
+        return verify(pairs, *rest)
+
+    monkeypatch.setattr(ngram_join, "_verify", counted)
+    rng = random.Random(9)
+    base = [f"w{k}" for k in range(120)]
+    for size in (2000, 8000):
+        compared.append(0)
+        texts = [" ".join([*base[:at], f"v{k}", *base[at + 1 :]]) for k, at in enumerate(rng.choices(range(120), k=size))]
+        got = ngram_join.near_groups(docs(spark, texts), 4, 85, 100)
+        assert "n_links" not in got.columns and {r.component_id for r in got.select("component_id").distinct().collect()} == {0}
+    assert compared[1] < 6 * compared[0] and compared[1] < 200 * 8000, compared
 
 
 def test_near_query_equals_brute_force(spark, sf_dir):
