@@ -4,12 +4,12 @@ Every page becomes a list of text lines, one for each block. Within a host, page
 aligned with its nearest neighbour of another path and other content by a longest common subsequence of lines. Lines that both pages share
 in the same order are the site's furniture and are deleted.
 
-Structure decides first where a page gives it: blocks inside navigation, headers, footers, asides, forms, scripts,
-adverts, notices and reader comments are furniture whether a neighbour has them or not, and blocks of prose inside an
-article (or main) element are text even if a neighbour repeats them. If a page has such an element, only its blocks
-count. Differencing decides for all other blocks: those of pages without such an element, and those inside one that
-are links only. Pages of one path, and pages that share four fifths of their sentences, are versions of one another:
-between them only lines that are no sentences are deleted.
+What is left is then checked against the structure of the page, where it gives any: blocks of prose inside an article
+(or main) element are text and are put back if a neighbour repeats them; blocks inside navigation, headers, footers,
+asides, forms, scripts, adverts, notices and reader comments are furniture and go even if no neighbour has them. If a
+page has such an element, only its blocks count. Differencing alone decides all other blocks: those of pages without
+such an element, and those inside one that are links only. Pages of one path, and pages that share four fifths of their
+sentences, are versions of one another: between them only lines that are no sentences are deleted.
 """
 
 from __future__ import annotations
@@ -17,13 +17,14 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ffspark.llm.shared import PARTS, materialise
+from ffspark.llm.shared import PARTS, lookup, materialise
 
 #: Fixed values of HTML: elements whose content isn't text, and elements that begin or end a block.
 RAW = ("script", "style", "noscript", "template", "svg", "iframe", "object", "textarea", "title", "xmp", "noembed", "noframes")
@@ -244,17 +245,36 @@ def _is_sentence(text: str) -> bool:
     return text[-1] in ".!?" or text.count(" ") >= 7
 
 
+def _sizes(lines: list[tuple[int, str]]) -> list[int]:
+    """Characters of each line, 0 of one that is no sentence."""
+    return [len(t) if _is_sentence(t) else 0 for _, t in lines]
+
+
+def shared_lines(own: list, other: list, sizes: list[int], other_size: int, same_path: bool = False) -> list[bool]:
+    """Which of a page's lines differencing deletes: those of a longest common subsequence with its neighbour's, without
+    sentences if the two are versions of one page. ``other_size``: the sum of the neighbour's sizes."""
+    shared = lcs_members(own, other)
+    both = sum(size for size, gone in zip(sizes, shared, strict=True) if gone)
+    if same_path or (both and 5 * both >= 4 * max(sum(sizes), other_size)):
+        shared = [gone and not size for size, gone in zip(sizes, shared, strict=True)]
+    return shared
+
+
+def checked(lines: list[tuple[int, str]], deleted: list[bool]) -> tuple[str, int, int]:
+    """The text after differencing and the check of its result by structure, how many deleted lines that puts back, and
+    how many others it takes out."""
+    inside = (ARTICLE, LINKS) if any(role in (ARTICLE, LINKS) for role, _ in lines) else (TEXT,)
+    kept = [role in inside and (role == ARTICLE or not gone) for (role, _), gone in zip(lines, deleted, strict=True)]
+    pairs = list(zip(kept, deleted, strict=True))
+    return "\n".join(t for (_, t), stays in zip(lines, kept, strict=True) if stays), pairs.count((True, True)), pairs.count((False, False))
+
+
 def main_text(lines: list[tuple[int, str]], neighbour: list[tuple[int, str]] | None, same_path: bool = False) -> str:
-    """Delete the lines shared with the neighbour, then keep the main element's lines if there is one."""
-    shared = [False] * len(lines)
+    """Delete the lines shared with the neighbour, then check by structure what is left."""
+    deleted = [False] * len(lines)
     if neighbour and neighbour != lines:
-        shared = lcs_members([t for _, t in lines], [t for _, t in neighbour])
-        size = lambda found: sum(len(t) for t in found if _is_sentence(t))
-        both = size(t for (_, t), gone in zip(lines, shared, strict=True) if gone)
-        if same_path or (both and 5 * both >= 4 * max(size(t for _, t in lines), size(t for _, t in neighbour))):
-            shared = [gone and not _is_sentence(t) for (_, t), gone in zip(lines, shared, strict=True)]
-    inside = (ARTICLE, LINKS) if any(role in (ARTICLE, LINKS) for role, _ in lines) else (TEXT,)
-    return "\n".join(t for (role, t), gone in zip(lines, shared, strict=True) if role in inside and (role == ARTICLE or not gone))
+        deleted = shared_lines([t for _, t in lines], [t for _, t in neighbour], _sizes(lines), sum(_sizes(neighbour)), same_path)
+    return checked(lines, deleted)[0]
 
 
 def is_decided(lines: list[tuple[int, str]]) -> bool:
@@ -262,8 +282,9 @@ def is_decided(lines: list[tuple[int, str]]) -> bool:
     return not lines or any(role == ARTICLE for role, _ in lines) and not any(role == LINKS for role, _ in lines)
 
 
-SCHEMA = "page_id long, url string, text string, n_chars long, neighbour_id long"
 ORDER = ("host", "path", "page_id", "digest")
+#: Bytes of a line's digest, by which the lines of different pages are compared.
+MARK = 8
 #: Most pages of a range, on average: a task holds their addresses, without lines.
 RANGE_PAGES = 50_000
 
@@ -364,37 +385,74 @@ def _pairs(reps: DataFrame, most: int) -> DataFrame:
     return ranges.groupBy("part").cogroup(sent.groupBy("part")).applyInArrow(pair, "key string, other string, other_id long")
 
 
-def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """One row per row of ``pages``: page_id, url, text, n_chars, neighbour_id.
+def _marks(lines: list[tuple[int, str]]) -> list[bytes]:
+    return [hashlib.blake2b(t.encode("utf-8", "backslashreplace"), digest_size=MARK).digest() for _, t in lines]
+
+
+def _pack(lines: list[tuple[int, str]]) -> bytes:
+    """Lines, which hold no line break, as one compressed value: they cross the cluster once."""
+    return zlib.compress("\n".join(["".join(str(role) for role, _ in lines), *(t for _, t in lines)]).encode("utf-8", "surrogatepass"), 1)
 
-    Pages with equal host, path and lines are one page for the comparison. Where structure decides all pages of a host, they
-    are not paired and ``neighbour_id`` is null; on other hosts each page has its partner, see ``_pairs``, and the lines of
-    undecided pages and their partners are compared. A page alone on its host has no partner. Very long pages are parsed
-    and compared whole; pages that tie by path are taken in order of id and content. A null or empty html gives an empty text; a null url counts as a host and path of its own. An empty table gives an
-    empty result. Other columns are ignored, whatever their names.
+
+def _unpack(packed: bytes) -> list[tuple[int, str]]:
+    roles, *texts = zlib.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+    return [(int(role), t) for role, t in zip(roles, texts, strict=True)]
+
+
+def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", every_page: bool = False) -> DataFrame:
+    """One row per row of ``pages``: page_id, url, text, n_chars, neighbour_id, n_shared, n_restored, n_removed.
+
+    With ``every_page`` each page has its partner, see ``_pairs``, differencing deletes the lines it shares with that (their
+    number: ``n_shared``), and the check by structure then puts ``n_restored`` of them back and takes out ``n_removed``
+    others. Without, pages that structure decides get the same text without differencing, and the three numbers are null:
+    pages are only paired on hosts with a page that it doesn't decide, and elsewhere ``neighbour_id`` is null.
+
+    Pages with equal host, path and lines are one page for the pairing. A page alone on its host has no partner. Very long
+    pages are parsed and compared whole; pages that tie by path are taken in order of id and content. Lines of two pages
+    are compared by 64-bit digests. A null or empty html gives an empty text; a null url counts as a host and path of its
+    own. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
 
-    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    numbers = ("n_shared", "n_restored", "n_removed")
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list, list[tuple[str, str]], list]]:
+        """Pages with their lines, key, digest and, if structure decides it, text."""
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part = batch.slice(at, 128)
                 found = [page_lines(x or "") for x in part.column("html").to_pylist()]
-                roles = pa.array([[r for r, _ in x] for x in found], pa.list_(pa.int8()))
-                texts = pa.array([[t for _, t in x] for x in found], pa.list_(pa.string()))
                 digests = [hashlib.md5(repr(x).encode("utf-8", "backslashreplace")).hexdigest() for x in found]
                 keys = [hashlib.md5(repr((h, p, d)).encode("utf-8", "backslashreplace")).hexdigest() for h, p, d in zip(part.column("host").to_pylist(), part.column("path").to_pylist(), digests, strict=True)]
-                own = pa.array([main_text(x, None) if is_decided(x) else None for x in found], pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(k) for k in range(5)] + [pa.array(digests), pa.array(keys), own, roles, texts], names=["page_id", "url", "host", "path", "place", "digest", "key", "own", "roles", "texts"]
-                )
+                own = [main_text(x, None) if not every_page and is_decided(x) else None for x in found]
+                yield part, found, [*zip(keys, digests, strict=True)], own
+
+    def heads_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, names, own in slices(batches):
+            marks = pa.array([b"".join(_marks(x)) for x in found], pa.binary())
+            columns = [pa.array([d for _, d in names]), pa.array([k for k, _ in names]), pa.array(own, pa.string()), marks, pa.array([sum(_sizes(x)) for x in found], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(k) for k in range(5)] + columns, names=["page_id", "url", "host", "path", "part", "digest", "key", "own", "marks", "size"])
+
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, found, names, own in slices(batches):
+            packed = pa.array([_pack(x) if text is None else None for x, text in zip(found, own, strict=True)], pa.binary())
+            columns = [part.column(k) for k in (0, 1, 3, 4)] + [pa.array([k for k, _ in names]), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "path", "part", "key", "lines"]).filter(packed.is_valid())
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128).to_pylist()
-                pairs = lambda x, r, t: list(zip(x[r], x[t], strict=True)) if x[t] is not None else None
-                texts = [main_text(pairs(x, "roles", "texts"), pairs(x, "other_roles", "other_texts"), x["path"] == x["other_path"]) for x in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([x["key"] for x in rows]), pa.array(texts, pa.string())], names=["key", "compared"])
+                part = batch.slice(at, 128)
+                texts, shared, restored, removed = [], [], [], []
+                for x in part.select(["path", "lines", "other_path", "other_marks", "other_size"]).to_pylist():
+                    lines, other = _unpack(x["lines"]), x["other_marks"]
+                    deleted = [False] * len(lines)
+                    if other is not None:
+                        marks = [other[k : k + MARK] for k in range(0, len(other), MARK)]
+                        deleted = shared_lines(_marks(lines), marks, _sizes(lines), x["other_size"], x["path"] == x["other_path"])
+                    text, back, out = checked(lines, deleted)
+                    texts, shared, restored, removed = [*texts, text], [*shared, sum(deleted)], [*restored, back], [*removed, out]
+                found = [pa.array(x, pa.int64()) for x in (shared, restored, removed)]
+                yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), part.column("other_id"), *found], names=["page_id", "url", "text", "neighbour_id", *numbers])
 
     url = F.coalesce(F.col(url_col), F.lit(""))
     source = pages.select(
@@ -402,28 +460,25 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
         F.col(url_col).alias("url"),
         F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)).alias("host"),
         F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1).alias("path"),
-        F.xxhash64(id_col, url_col, html_col).alias("place"),
+        F.pmod(F.xxhash64(id_col, url_col, html_col), F.lit(PARTS)).cast("int").alias("part"),
         F.col(html_col).alias("html"),
     )
-    columns = "page_id long, url string, host string, path string, place long, digest string, key string, own string, roles array<byte>, texts array<string>"
-    heads = materialise(source.mapInArrow(lines, columns).drop("roles", "texts"), "heads")
-    out = lambda df, text, other: df.select("page_id", "url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"), other.cast("long").alias("neighbour_id"))
-    plain = heads.where("own IS NULL")
-    if plain.isEmpty():
-        return out(heads, F.col("own"), F.lit(None))
-    # Undecided pages and their partners are parsed again for their lines, so that those of the others are never stored.
-    near = heads.join(plain.select("host").distinct(), "host", "left_semi")
+    heads = materialise(source.mapInArrow(heads_of, "page_id long, url string, host string, path string, part int, digest string, key string, own string, marks binary, size long"), "heads")
+    decided = lambda df, other: df.select("page_id", "url", F.col("own").alias("text"), F.char_length("own").cast("long").alias("n_chars"), other.alias("neighbour_id"), *(F.lit(None).cast("long").alias(c) for c in numbers))
+    undecided = heads.where("own IS NULL")
+    if not every_page and undecided.isEmpty():
+        return decided(heads, F.lit(None).cast("long"))
+    near = heads if every_page else heads.join(undecided.select("host").distinct(), "host", "left_semi")
     reps = near.groupBy("key").agg(F.first("host").alias("host"), F.first("path").alias("path"), F.first("digest").alias("digest"), F.min("page_id").alias("page_id"))
     pairs = materialise(_pairs(reps, near.count()), "pairs")
-    plain = materialise(plain.select("key").distinct().join(pairs.select("key", "other"), "key", "left"), "plain")
-    needed = plain.select("key").unionByName(plain.select(F.col("other").alias("key"))).distinct()
-    needed = heads.groupBy("key").agg(F.min("place").alias("place")).join(needed, "key")  # one of a page's copies
-    again = source.join(needed.select("place"), "place", "left_semi").select(*source.columns).mapInArrow(lines, columns)
-    found = materialise(again.select("key", "path", "roles", "texts").dropDuplicates(["key"]), "lines")
-    others = found.select(F.col("key").alias("other"), F.col("path").alias("other_path"), F.col("roles").alias("other_roles"), F.col("texts").alias("other_texts"))
-    compared = plain.join(found, "key").join(others, "other", "left").select("key", "path", "other_path", "roles", "texts", "other_roles", "other_texts")
-    known = pairs.select("key", "other_id").join(compared.mapInArrow(compare, "key string, compared string"), "key", "full")
-    # What is known of a page goes to those parts of its copies that need it.
-    dealt = heads.withColumn("part", F.pmod("place", F.lit(PARTS)).cast("int"))
-    known = dealt.select("key", "part").distinct().join(known, "key")
-    return out(dealt.join(known, ["key", "part"], "left"), F.coalesce("own", "compared"), F.col("other_id"))
+    # Many pages may have one partner, and one page many copies: both are dealt to parts. Lines are parsed again rather than stored.
+    marks = near.groupBy("key").agg(F.first("path").alias("other_path"), F.first("marks").alias("other_marks"), F.first("size").alias("other_size")).withColumnRenamed("key", "other")
+    known = lookup(undecided.select("key", "part").distinct().join(pairs, "key"), "other", marks).drop("other")
+    lines = source.mapInArrow(lines_of, "page_id long, url string, path string, part int, key string, lines binary")
+    compared = lines.join(known, ["key", "part"], "left").mapInArrow(compare, "page_id long, url string, text string, neighbour_id long, n_shared long, n_restored long, n_removed long")
+    compared = compared.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "neighbour_id", *numbers)
+    if every_page:
+        return compared
+    rest = heads.where("own IS NOT NULL").select("page_id", "url", "part", "key", "own")
+    known = rest.select("key", "part").distinct().join(pairs, "key")
+    return compared.unionByName(decided(rest.join(known, ["key", "part"], "left"), F.col("other_id")))

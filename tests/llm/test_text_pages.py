@@ -162,6 +162,47 @@ def test_only_undecided_pages_are_paired(spark, monkeypatch):
     assert seen == [2] and got[10] == ("One", 11) and got[11] == ("Two", 10) and got[2] == ("Story 2", None)
 
 
+def test_every_page_is_differenced(spark):
+    """Also pages that structure decides: differencing first, then the check puts back and takes out."""
+    page = lambda k, *more: f"<nav>Menu</nav><div class=ad>Buy {k}</div><article><h1>Title {k}</h1><p>Same line.</p>{''.join(more)}</article><footer>Foot</footer>"
+    rows = [(k, f"http://a.org/{k}", page(k)) for k in (1, 2)] + [(3, "http://a.org/2/x", page(3, "<p>And a longer line that this page has alone.</p>")), (4, "http://b.org/1", page(4)), (5, "http://c.org/1", "<p>Menu</p><p>One</p>"), (6, "http://c.org/2", "<p>Menu</p><p>Two</p>"), (7, "http://c.org/3", None)]
+    table = pages(spark, rows)
+    got = {r.page_id: r for r in html_extract.extract_main_text(table, every_page=True).collect()}
+    assert {k: (r.neighbour_id, r.n_shared, r.n_restored, r.n_removed) for k, r in got.items()} == {
+        1: (2, 2, 0, 1), 2: (3, 3, 1, 1), 3: (2, 3, 1, 1), 4: (None, 0, 0, 3), 5: (6, 1, 0, 0), 6: (5, 1, 0, 0), 7: (6, 0, 0, 0)
+    }
+    plain = {r.page_id: r for r in html_extract.extract_main_text(table).collect()}
+    assert {k: r.text for k, r in got.items()} == {k: r.text for k, r in plain.items()} and got[3].text == "Title 3\nSame line.\nAnd a longer line that this page has alone."
+    assert all(r.n_chars == len(r.text) for r in got.values()) and plain[1].n_shared is None and plain[5].n_shared == 1
+
+
+def test_the_query_differences_every_page(spark, sf_dir):
+    from urllib.parse import urlsplit
+
+    from ffspark.llm import queries
+
+    table = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    place = {r.page_id: (urlsplit(r.url).netloc.lower(), urlsplit(r.url).path) for r in table}
+    lines = {r.page_id: [t for _, t in page_lines(r.html)] for r in table}
+    sentences = lambda found: sum(len(t) for t in found if html_extract._is_sentence(t))
+    seen = 0
+    for r in queries.op1_html_extraction(spark, sf_dir).collect():
+        host, path = place[r.page_id]
+        others = {k: html_extract.common_path(path, p) for k, (h, p) in place.items() if h == host and p != path and lines[k] != lines[r.page_id]}
+        if not others:
+            assert r.neighbour_id is None or place[r.neighbour_id] == (host, path)
+            continue
+        seen += 1
+        assert others[r.neighbour_id][0] == max(others.values())[0]
+        own, near = lines[r.page_id], lines[r.neighbour_id]
+        shared = [t for t, gone in zip(own, lcs_members(own, near), strict=True) if gone]
+        assert len(shared) == brute_lcs(own, near)
+        if sentences(shared) and 5 * sentences(shared) >= 4 * max(sentences(own), sentences(near)):
+            shared = [t for t in shared if not html_extract._is_sentence(t)]
+        assert r.n_shared == len(shared)
+    assert seen == sum(any(h == host and p != path for h, p in place.values()) for host, path in place.values()) > 20
+
+
 def test_partners_for_any_partitioning(spark, monkeypatch):
     """Pages at range borders, groups of copies and near copies of one path; without an article element."""
     plain = lambda own: f"<p>Welcome</p><p>{own}</p><p>Contact us</p>"
